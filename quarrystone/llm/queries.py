@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, matroska, sharding, url_filter
+from . import byte_bpe, chat, matroska, near_dup, packing, sharding, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +40,15 @@ def op4_url_bloom_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, BLOCKED_DOMAINS).drop("url")
 
 
+def op5_minhash_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(read(spark, sf_dir, "documents"), near_dup.Params(shingle=3, percent=85))
+
+
+def op6_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.digests(packing.pack(read(spark, sf_dir, "documents"), path, window=2048, end_id=1))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), path)
@@ -74,6 +83,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_prefix_targets,
         op4_url_bloom_cascade,
+        op5_minhash_inverted_join,
+        op6_bounded_space_packing,
         op8_byte_bpe,
         op9_hash_tree_sharding,
         op10_matroska_columns,
