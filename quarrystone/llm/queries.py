@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat, matroska, near_dup, packing, sharding, url_filter
+from . import ann, byte_bpe, chat, matroska, near_dup, packing, sharding, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op6_bounded_space_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digests(packing.pack(read(spark, sf_dir, "documents"), path, window=2048, end_id=1))
 
 
+def op7_multiprobe_p_stable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, ann.Params(k=20))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(read(spark, sf_dir, "documents"), path)
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_url_bloom_cascade,
         op5_minhash_inverted_join,
         op6_bounded_space_packing,
+        op7_multiprobe_p_stable,
         op8_byte_bpe,
         op9_hash_tree_sharding,
         op10_matroska_columns,
