@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, chat, matroska, near_dup, packing, sharding, url_filter
+from . import ann, byte_bpe, chat, matroska, near_dup, packing, quality, sharding, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,6 +24,12 @@ def op1_chat_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.prefix_targets(rows.unionByName(planted)))
 
 
+def op2_site_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.judge(docs, model, F.col("source"), F.col("lang"))
+
+
 #: The rules of op4, and the domains its block list holds.
 URL_RULES = [
     url_filter.Rule("com", "/en/", "block"),
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_chat_prefix_targets,
+        op2_site_bayes_quality,
         op4_url_bloom_cascade,
         op5_minhash_inverted_join,
         op6_bounded_space_packing,
