@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, byte_bpe, chat, matroska, near_dup, packing, quality, sharding, url_filter
+from . import ann, byte_bpe, chat, matroska, near_dup, packing, passages, quality, sharding, url_filter
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op2_site_bayes_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, model, F.col("source"), F.col("lang"))
 
 
+def op3_collinear_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(read(spark, sf_dir, "documents")).drop("mark")
+
+
 #: The rules of op4, and the domains its block list holds.
 URL_RULES = [
     url_filter.Rule("com", "/en/", "block"),
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_chat_prefix_targets,
         op2_site_bayes_quality,
+        op3_collinear_passages,
         op4_url_bloom_cascade,
         op5_minhash_inverted_join,
         op6_bounded_space_packing,
