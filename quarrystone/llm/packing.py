@@ -7,9 +7,10 @@ no emitted window has over `gap` tokens of padding. When a partition ends, its o
 `merge` partitions' leftovers at a time are packed once more with every window topped up in full, which
 leaves at most one short window for each such group of partitions.
 
-Documents are tokenised by white-space chunks: chunks go through a bounded cache, and what is missing is
-encoded by the tokenizer itself. Its pattern never matches across a blank or a line feed, and its normaliser
-works on signs that don't reach over them, so the ids are those of the whole text.
+Documents are tokenised by white-space chunks: chunks go through a bounded cache. A missing chunk of Latin signs is
+cut by the tokenizer's own pattern into pieces, which have a cache too and are merged by the tokenizer's model; any
+other chunk is encoded by the tokenizer as a whole. Its pattern never matches across a blank or a line feed, and its normaliser works on
+signs that don't reach over them, so the ids are those of the whole text.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; a text of any length is
 packed whole; an empty table gives an empty result; other columns are not looked at.
@@ -18,18 +19,25 @@ packed whole; an empty table gives an empty result; other columns are not looked
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, n_partitions, small_batches
 
-#: Chunks that one worker keeps before it starts afresh.
-CHUNK_CACHE = 400_000
+#: Chunks, and pieces of them, that one worker keeps before it starts afresh.
+CHUNK_CACHE = 600_000
+
+#: Chunks in which normalising means no more than lower case: no marks, no white space, no control signs.
+PLAIN = regex.compile(r"[!-~\u00a1-\u017f]+")
+#: The pattern of the tokenizer file (a fixed value): what it matches is encoded on its own.
+PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 #: Sequence ids: the partition's number times this, plus the window's number in it.
 SPAN = 1 << 36
@@ -37,6 +45,14 @@ SPAN = 1 << 36
 COLUMNS = ["id", "doc_tokens", "start", "ids", "sequence_id", "offset", "leftover"]
 
 
+@functools.cache
+def visible() -> dict[int, str]:
+    """The sign that stands for each byte in a byte-level vocabulary: itself where it is visible, else the next from U+0100."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class ChunkTokenizer:
     """Ids of texts as little-endian unsigned 32-bit integers, by chunks between blanks and line feeds."""
 
@@ -46,14 +62,31 @@ class ChunkTokenizer:
         self.encoder = Tokenizer.from_file(path)
         self.encoder.encode_special_tokens = True
         self.end = np.array([end_id], "<u4").tobytes()
-        self.limit, self.known = limit, {}
+        self.limit, self.known, self.pieces = limit, {}, {}
 
     def learn(self, chunks: list[str]) -> None:
         if len(self.known) > self.limit:
             self.known.clear()
-        new = list({c for c in chunks if c not in self.known})
-        for c, e in zip(new, self.encoder.encode_batch_fast(new, add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
+        if len(self.pieces) > self.limit:
+            self.pieces.clear()
+        known, pieces = self.known, self.pieces
+        other, merge, table = [], self.encoder.model.tokenize, visible()
+        for c in chunks:
+            if c in known:
+                continue
+            if not PLAIN.fullmatch(c):
+                other.append(c)
+                continue
+            ids = []
+            for p in PIECE.findall(c.lower()):
+                got = pieces.get(p)
+                if got is None:
+                    merged = merge(p.encode().decode("latin-1").translate(table))
+                    got = pieces[p] = array("I", [t.id for t in merged]).tobytes()
+                ids.append(got)
+            known[c] = b"".join(ids)
+        for c, e in zip(other, self.encoder.encode_batch_fast(other, add_special_tokens=False)):
+            known[c] = array("I", e.ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         chunks = (text or "").replace("\n", " ").split(" ")
