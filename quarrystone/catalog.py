@@ -113,8 +113,8 @@ def query(name: str, sql: str | None = None, facts: bool = True) -> Callable[[Qu
     return add
 
 
-def from_estate(name: str, parts: tuple[str, ...], make: Callable[[Estate], DataFrame], sql: str) -> None:
-    query(name, sql)(lambda spark, sf_dir: make(Estate.rendered(spark, sf_dir, *parts)))
+def from_estate(name: str, make: Callable[[Estate], DataFrame], sql: str) -> None:
+    query(name, sql)(lambda spark, sf_dir: make(Estate.rendered(spark, sf_dir)))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +148,7 @@ query(
     "SELECT rel_path FROM (SELECT 'cobol/P' || p_partkey || '.cbl' AS rel_path FROM part UNION ALL SELECT 'cobol/S' || s_suppkey || '.cbl' FROM supplier WHERE s_suppkey % 10 <> 0)"
     " WHERE NOT regexp_matches(rel_path, '^cobol/P[0-9]*7\\.cbl$') AND NOT starts_with(rel_path, 'cobol/S1')",
     False,
-)(lambda s, d: Estate.rendered(s, d, "programs", "leaves").files.select("rel_path").filter(~T.excluded(F.col("rel_path"), ["P*7.cbl", "**/S1*.cbl"])))
+)(lambda s, d: Estate.rendered(s, d).files.filter("kind = 'program' AND language = 'cobol'").select("rel_path").filter(~T.excluded(F.col("rel_path"), ["P*7.cbl", "**/S1*.cbl"])))
 query("scan_active_by_language", "SELECT rel_path, language FROM (SELECT 'doc/' || doc_id AS rel_path, lang AS language, doc_id FROM documents) WHERE doc_id % 7 <> 0 AND language = 'de'", False)(
     lambda s, d: documents(s, d).withColumn("status", F.when(F.substring("rel_path", 5, 20).cast("long") % 7 == 0, "removed").otherwise("active")).filter("status = 'active' AND language = 'de'").select("rel_path", "language")
 )
@@ -158,7 +158,7 @@ query("hash_content", "SELECT 'doc/' || doc_id AS rel_path, sha256(text) AS sha2
 
 # --- classification --------------------------------------------------------------------------------
 from_estate(
-    "classify_extension", (), lambda e: e.files.groupBy("language", "kind", "method").agg(F.count(F.lit(1)).alias("n")),
+    "classify_extension", lambda e: e.files.groupBy("language", "kind", "method").agg(F.count(F.lit(1)).alias("n")),
     """SELECT 'cobol' AS language, 'program' AS kind, 'extension' AS method, (SELECT count(*) FROM part_k) + (SELECT count(*) FROM leaf) AS n
     UNION ALL SELECT 'cobol', 'copybook', 'extension', count(*) FROM book UNION ALL SELECT 'jcl', 'job', 'extension', count(*) FROM orders
     UNION ALL SELECT 'pli', 'program', 'extension', count(*) FROM region""",
@@ -179,42 +179,41 @@ query(
     False,
 )(lambda s, d: unnamed(s, d).groupBy("language", "kind", "method").agg(F.count(F.lit(1)).alias("n")))
 from_estate(
-    "counts_by_language", (), lambda e: e.files.groupBy("language").agg(F.count(F.lit(1)).alias("n")),
+    "counts_by_language", lambda e: e.files.groupBy("language").agg(F.count(F.lit(1)).alias("n")),
     "SELECT 'cobol' AS language, (SELECT count(*) FROM part_k) + (SELECT count(*) FROM leaf) + (SELECT count(*) FROM book) AS n UNION ALL SELECT 'jcl', count(*) FROM orders UNION ALL SELECT 'pli', count(*) FROM region",
 )
 
 # --- COBOL -----------------------------------------------------------------------------------------
-COBOL = ("programs", "leaves", "copybooks")
-from_estate("cobol_fixed_detect", COBOL, lambda e: cobol.fixed_format(e.of("cobol")).select("rel_path", "fixed"),
+from_estate("cobol_fixed_detect", lambda e: cobol.fixed_format(e.of("cobol")).select("rel_path", "fixed"),
     "SELECT path AS rel_path, true AS fixed FROM part_k UNION ALL SELECT path, n % 2 = 0 FROM leaf UNION ALL SELECT path, true FROM book")
-from_estate("cobol_code_lines", COBOL, lambda e: cobol.code_lines(e.of("cobol")).groupBy("rel_path").agg(F.count(F.lit(1)).alias("n"), F.max("line").cast("long").alias("last_line")),
+from_estate("cobol_code_lines", lambda e: cobol.code_lines(e.of("cobol")).groupBy("rel_path").agg(F.count(F.lit(1)).alias("n"), F.max("line").cast("long").alias("last_line")),
     """SELECT path AS rel_path, 25 + count(s) AS n, 26 + count(s) AS last_line FROM part_k LEFT JOIN supp USING (k) GROUP BY path
     UNION ALL SELECT path, 5, 5 FROM leaf UNION ALL SELECT path, 2, 2 FROM book""")
-from_estate("cobol_exec_blocks", COBOL, lambda e: e.cobol.exec_blocks,
+from_estate("cobol_exec_blocks", lambda e: e.cobol.exec_blocks,
     """SELECT path AS rel_path, 14 AS line, CASE WHEN k % 4 < 2 THEN 'CICS' ELSE 'SQL' END AS exec_kind,
       '    EXEC ' || CASE k % 4 WHEN 0 THEN 'CICS LINK' WHEN 1 THEN 'CICS XCTL' ELSE 'SQL' END || '       ' ||
       CASE k % 4 WHEN 0 THEN 'PROGRAM(''S' || (k % 10 + 1) || ''')' WHEN 1 THEN 'PROGRAM(WS-PGM-NAME)' WHEN 2 THEN 'SELECT A FROM T' || (k % 13) || ' JOIN U' || (k % 3)
         ELSE 'INSERT INTO T' || (k % 13) || ' SELECT B FROM V' || (k % 2) END || '     END-EXEC.' AS block FROM part_k
     UNION ALL SELECT path, 17, 'SQL', '    EXEC SQL EXECUTE IMMEDIATE :STMT END-EXEC.' FROM part_k WHERE k % 6 = 0""")
-from_estate("cobol_cics_calls", COBOL, lambda e: e.cobol.cics_calls, "SELECT rel_path, line, target, dynamic, mechanism FROM cics_calls")
-from_estate("cobol_sql_tables", COBOL, lambda e: e.cobol.sql_tables, "SELECT rel_path, line, name, op FROM sql_tables")
-from_estate("cobol_divisions", COBOL, lambda e: e.cobol.divisions,
+from_estate("cobol_cics_calls", lambda e: e.cobol.cics_calls, "SELECT rel_path, line, target, dynamic, mechanism FROM cics_calls")
+from_estate("cobol_sql_tables", lambda e: e.cobol.sql_tables, "SELECT rel_path, line, name, op FROM sql_tables")
+from_estate("cobol_divisions", lambda e: e.cobol.divisions,
     """SELECT path AS rel_path, unnest(['IDENTIFICATION', 'DATA', 'PROCEDURE']) AS name, unnest([1, 4, 9]) AS line FROM part_k
     UNION ALL SELECT path, unnest(['IDENTIFICATION', 'PROCEDURE']), unnest([1, 3]) FROM leaf""")
-from_estate("cobol_program_id", COBOL, lambda e: e.cobol.programs.filter("program_id IS NOT NULL").select("rel_path", "program_id"),
+from_estate("cobol_program_id", lambda e: e.cobol.programs.filter("program_id IS NOT NULL").select("rel_path", "program_id"),
     "SELECT path AS rel_path, pname AS program_id FROM part_k UNION ALL SELECT path, pname FROM leaf")
-from_estate("cobol_copies", COBOL, lambda e: e.cobol.copies, "SELECT path AS rel_path, 6 AS line, 'N' || (k % 25) AS name FROM part_k")
-from_estate("cobol_calls", COBOL, lambda e: e.cobol.plain_calls, "SELECT rel_path, line, target, dynamic, mechanism FROM plain_calls")
-from_estate("cobol_sections", COBOL, lambda e: e.cobol.sections, "SELECT path AS rel_path, 5 AS line, 'WORKING-STORAGE' AS name FROM part_k")
-from_estate("cobol_data_items", COBOL, lambda e: e.cobol.data_items,
+from_estate("cobol_copies", lambda e: e.cobol.copies, "SELECT path AS rel_path, 6 AS line, 'N' || (k % 25) AS name FROM part_k")
+from_estate("cobol_calls", lambda e: e.cobol.plain_calls, "SELECT rel_path, line, target, dynamic, mechanism FROM plain_calls")
+from_estate("cobol_sections", lambda e: e.cobol.sections, "SELECT path AS rel_path, 5 AS line, 'WORKING-STORAGE' AS name FROM part_k")
+from_estate("cobol_data_items", lambda e: e.cobol.data_items,
     """SELECT path AS rel_path, 7 AS line, 1 AS level, 'WS-TOTAL' AS name, '9(7)V99' AS pic FROM part_k UNION ALL SELECT path, 8, 5, 'WS-PGM-NAME', 'X(8)' FROM part_k
     UNION ALL SELECT path, 1, 1, name || '-REC', NULL FROM book UNION ALL SELECT path, 2, 5, name || '-ID', '9(6)' FROM book""")
-from_estate("cobol_paragraphs", COBOL, lambda e: e.cobol.paragraphs,
+from_estate("cobol_paragraphs", lambda e: e.cobol.paragraphs,
     """SELECT path AS rel_path, unnest([10, 26]) AS line, unnest(['MAIN-PARA', 'CALL-PARA']) AS name, NULL::VARCHAR AS section FROM part_k
     UNION ALL SELECT path, 4, 'LEAF-PARA', NULL FROM leaf""")
-from_estate("cobol_is_copybook", COBOL, lambda e: e.cobol.programs.groupBy("is_copybook").agg(F.count(F.lit(1)).alias("n")),
+from_estate("cobol_is_copybook", lambda e: e.cobol.programs.groupBy("is_copybook").agg(F.count(F.lit(1)).alias("n")),
     "SELECT false AS is_copybook, (SELECT count(*) FROM part_k) + (SELECT count(*) FROM leaf) AS n UNION ALL SELECT true, count(*) FROM book")
-from_estate("cobol_confidence", COBOL, lambda e: e.cobol.programs.select("rel_path", "confidence"),
+from_estate("cobol_confidence", lambda e: e.cobol.programs.select("rel_path", "confidence"),
     "SELECT path AS rel_path, 0.95::DOUBLE AS confidence FROM part_k UNION ALL SELECT path, 0.95 FROM leaf UNION ALL SELECT path, 0.9 FROM book")
 query("json_extract_object", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_valid(props) AS valid FROM events", False)(
     lambda s, d: s.read.parquet(f"{d}/events.parquet")
@@ -223,67 +222,66 @@ query("json_extract_object", "SELECT event_id, json_extract_string(props, '$.k')
 )
 
 # --- JCL -------------------------------------------------------------------------------------------
-from_estate("jcl_statements", ("jobs",), lambda e: e.jcl.statements,
+from_estate("jcl_statements", lambda e: e.jcl.statements,
     """SELECT 'jcl/O' || o_orderkey || '.jcl' AS rel_path, 1::BIGINT AS line, 'J' || o_orderkey AS name, 'JOB' AS verb,
       '(ACCT),CLASS=A' || CASE WHEN o_orderkey % 20 = 0 THEN ',PASSWORD=PW' || (o_orderkey % 7) ELSE '' END AS rest FROM orders
     UNION ALL SELECT path, 3 + 3 * r, 'S' || i, 'EXEC', 'PGM=P' || k FROM step UNION ALL SELECT path, 4 + 3 * r, 'D' || i, 'DD', 'DSN=CUST.C' || c || ', DISP=SHR' FROM step""")
-from_estate("jcl_jobs", ("jobs",), lambda e: e.jcl.jobs, "SELECT 'jcl/O' || o_orderkey || '.jcl' AS rel_path, 'J' || o_orderkey AS name, 1 AS line FROM orders")
-from_estate("jcl_steps", ("jobs",), lambda e: e.jcl.steps.drop("step"), "SELECT path AS rel_path, 3 + 3 * r AS line, 'S' || i AS name, 'P' || k AS pgm, NULL::VARCHAR AS proc FROM step")
-from_estate("jcl_dds", ("jobs",), lambda e: e.jcl.dds, "SELECT path AS rel_path, 4 + 3 * r AS line, 'D' || i AS name, r + 1 AS step, 'CUST.C' || c AS dsn, 'SHR' AS disp FROM step")
-from_estate("jcl_links", ("jobs",), lambda e: e.jcl.links,
+from_estate("jcl_jobs", lambda e: e.jcl.jobs, "SELECT 'jcl/O' || o_orderkey || '.jcl' AS rel_path, 'J' || o_orderkey AS name, 1 AS line FROM orders")
+from_estate("jcl_steps", lambda e: e.jcl.steps.drop("step"), "SELECT path AS rel_path, 3 + 3 * r AS line, 'S' || i AS name, 'P' || k AS pgm, NULL::VARCHAR AS proc FROM step")
+from_estate("jcl_dds", lambda e: e.jcl.dds, "SELECT path AS rel_path, 4 + 3 * r AS line, 'D' || i AS name, r + 1 AS step, 'CUST.C' || c AS dsn, 'SHR' AS disp FROM step")
+from_estate("jcl_links", lambda e: e.jcl.links,
     "SELECT path AS rel_path, 3 + 3 * r AS line, 'exec' AS link, 'P' || k AS target FROM step UNION ALL SELECT path, 4 + 3 * r, 'dd', 'CUST.C' || c FROM step")
 
 # --- PL/I ------------------------------------------------------------------------------------------
-from_estate("pli_scan_text", ("pli",), lambda e: e.pli.scanned.select("rel_path", F.contains("text", F.lit("GHOST")).alias("ghost"), F.contains("text", F.lit("NOBODY")).alias("nobody")),
+from_estate("pli_scan_text", lambda e: e.pli.scanned.select("rel_path", F.contains("text", F.lit("GHOST")).alias("ghost"), F.contains("text", F.lit("NOBODY")).alias("nobody")),
     "SELECT 'pli/R' || r_regionkey || '.pli' AS rel_path, false AS ghost, false AS nobody FROM region")
-from_estate("pli_procedures", ("pli",), lambda e: e.pli.procedures,
+from_estate("pli_procedures", lambda e: e.pli.procedures,
     """SELECT 'pli/R' || r_regionkey || '.pli' AS rel_path, 1 AS line, 'R' || r_regionkey AS name, true AS is_main FROM region
     UNION ALL SELECT 'pli/R' || r_regionkey || '.pli', 7, 'INNER' || r_regionkey, false FROM region""")
-from_estate("pli_calls", ("pli",), lambda e: e.pli.calls,
+from_estate("pli_calls", lambda e: e.pli.calls,
     "SELECT 'pli/R' || r || '.pli' AS rel_path, 8 + rn AS line, 'N_' || n AS target FROM inner_n UNION ALL SELECT 'pli/R' || r_regionkey || '.pli', 5, 'INNER' || r_regionkey FROM region")
-from_estate("pli_declares", ("pli",), lambda e: e.pli.declares, "SELECT 'pli/R' || r_regionkey || '.pli' AS rel_path, 1::BIGINT AS declares FROM region")
-from_estate("pli_program_name", ("pli",), lambda e: e.pli.programs, "SELECT 'pli/R' || r_regionkey || '.pli' AS rel_path, 'R' || r_regionkey AS name FROM region")
+from_estate("pli_declares", lambda e: e.pli.declares, "SELECT 'pli/R' || r_regionkey || '.pli' AS rel_path, 1::BIGINT AS declares FROM region")
+from_estate("pli_program_name", lambda e: e.pli.programs, "SELECT 'pli/R' || r_regionkey || '.pli' AS rel_path, 'R' || r_regionkey AS name FROM region")
 
 # --- graph -----------------------------------------------------------------------------------------
-from_estate("graph_nodes", (), lambda e: e.graph.nodes, "SELECT key, name, type, defined FROM nodes")
-from_estate("graph_edges", (), lambda e: e.graph.edges, "SELECT src, dst, type, rel_path, line FROM edges")
-from_estate("graph_pli_external_calls", ("pli",), lambda e: e.pli.external_calls, "SELECT 'pli/R' || r || '.pli' AS rel_path, 8 + rn AS line, 'N_' || n AS target FROM inner_n")
-from_estate("graph_external_nodes", (), lambda e: e.graph.external.select("key", "name"), "SELECT key, name FROM external")
-from_estate("graph_adjacency", (), lambda e: e.graph.adjacency,
+from_estate("graph_nodes", lambda e: e.graph.nodes, "SELECT key, name, type, defined FROM nodes")
+from_estate("graph_edges", lambda e: e.graph.edges, "SELECT src, dst, type, rel_path, line FROM edges")
+from_estate("graph_pli_external_calls", lambda e: e.pli.external_calls, "SELECT 'pli/R' || r || '.pli' AS rel_path, 8 + rn AS line, 'N_' || n AS target FROM inner_n")
+from_estate("graph_external_nodes", lambda e: e.graph.external.select("key", "name"), "SELECT key, name FROM external")
+from_estate("graph_adjacency", lambda e: e.graph.adjacency,
     """SELECT key, coalesce(string_agg(dst, ' ' ORDER BY dst), '') AS targets FROM nodes LEFT JOIN (SELECT src, dst FROM edges WHERE type = 'call') ON src = key GROUP BY key""")
-from_estate("graph_in_degree", (), lambda e: e.graph.in_degree, "SELECT key, count(dst) AS in_degree FROM nodes LEFT JOIN edges ON dst = key GROUP BY key")
-from_estate("graph_cycles", COBOL + ("pli", "jobs"), lambda e: e.graph.cycles(),
-    "SELECT pname AS key, min(pname) OVER (PARTITION BY (k - 1) // 7) AS cycle FROM ring WHERE is_ring")
-from_estate("graph_self_loops", (), lambda e: e.graph.self_loops, "SELECT pname AS key FROM part_k WHERE k % 17 = 0")
-from_estate("graph_orphans", (), lambda e: e.graph.orphans,
+from_estate("graph_in_degree", lambda e: e.graph.in_degree, "SELECT key, count(dst) AS in_degree FROM nodes LEFT JOIN edges ON dst = key GROUP BY key")
+from_estate("graph_cycles", lambda e: e.graph.cycles(),
+    "SELECT pname AS key, min(pname) OVER (PARTITION BY (k - 1) // 7) AS cycle FROM ring WHERE is_ring AND k > 0")
+from_estate("graph_self_loops", lambda e: e.graph.self_loops, "SELECT pname AS key FROM part_k WHERE k % 17 = 0")
+from_estate("graph_orphans", lambda e: e.graph.orphans,
     "SELECT name FROM nodes WHERE type = 'program' AND defined AND key NOT IN (SELECT dst FROM edges WHERE type IN ('call', 'exec', 'cics'))")
-from_estate("graph_unused_copybooks", (), lambda e: e.graph.unused_copybooks,
+from_estate("graph_unused_copybooks", lambda e: e.graph.unused_copybooks,
     "SELECT name FROM book WHERE 'copy:' || name NOT IN (SELECT dst FROM edges WHERE type = 'copy')")
-from_estate("graph_unresolved", (), lambda e: e.graph.external.select("name"), "SELECT name FROM external")
-from_estate("graph_reverse_deps", (), lambda e: e.graph.reverse,
+from_estate("graph_unresolved", lambda e: e.graph.external.select("name"), "SELECT name FROM external")
+from_estate("graph_reverse_deps", lambda e: e.graph.reverse,
     """SELECT d.name, coalesce(string_agg(DISTINCT s.name, ',' ORDER BY s.name) FILTER (e.type = 'call'), '') AS callers,
       coalesce(string_agg(DISTINCT s.name, ',' ORDER BY s.name) FILTER (e.type = 'exec'), '') AS jobs
     FROM edges e JOIN nodes s ON s.key = e.src JOIN nodes d ON d.key = e.dst WHERE e.type IN ('call', 'exec') GROUP BY d.name""")
-from_estate("graph_node_counts", (), lambda e: e.graph.nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n")), "SELECT type, count(*) AS n FROM nodes GROUP BY type")
-from_estate("graph_totals", (), lambda e: e.graph.nodes.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(e.graph.edges.agg(F.count(F.lit(1)).alias("n_edges"))),
+from_estate("graph_node_counts", lambda e: e.graph.nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n")), "SELECT type, count(*) AS n FROM nodes GROUP BY type")
+from_estate("graph_totals", lambda e: e.graph.nodes.agg(F.count(F.lit(1)).alias("n_nodes")).crossJoin(e.graph.edges.agg(F.count(F.lit(1)).alias("n_edges"))),
     "SELECT (SELECT count(*) FROM nodes) AS n_nodes, (SELECT count(*) FROM edges) AS n_edges")
 
 # --- rules -----------------------------------------------------------------------------------------
-CODE = ("programs", "leaves", "copybooks", "jobs", "pli")
-from_estate("rule_code_lines", COBOL, lambda e: rules.code_lines(e.files).groupBy("rel_path").agg(F.count(F.lit(1)).alias("n")),
+from_estate("rule_code_lines", lambda e: rules.code_lines(e.of("cobol")).groupBy("rel_path").agg(F.count(F.lit(1)).alias("n")),
     "SELECT path AS rel_path, 25 + count(s) AS n FROM part_k LEFT JOIN supp USING (k) GROUP BY path UNION ALL SELECT path, 5 FROM leaf UNION ALL SELECT path, 2 FROM book")
-for _name, _id, _parts in (
-    ("rule_secret", "LL-SEC-001", COBOL), ("rule_jcl_password", "LL-SEC-002", ("jobs",)), ("rule_dynamic_sql", "LL-SEC-003", COBOL),
-    ("rule_sensitive_display", "LL-SEC-004", COBOL), ("rule_ipv4", "LL-SEC-006", COBOL), ("rule_debug", "LL-SEC-007", COBOL), ("rule_pli_output", "LL-SEC-009", ("pli",)),
+for _name, _id in (
+    ("rule_secret", "LL-SEC-001"), ("rule_jcl_password", "LL-SEC-002"), ("rule_dynamic_sql", "LL-SEC-003"),
+    ("rule_sensitive_display", "LL-SEC-004"), ("rule_ipv4", "LL-SEC-006"), ("rule_debug", "LL-SEC-007"), ("rule_pli_output", "LL-SEC-009"),
 ):
-    from_estate(_name, _parts, lambda e, i=_id: rules.line_findings(e.files).filter(F.col("rule_id") == i).select("rel_path", "line", "evidence"),
+    from_estate(_name, lambda e, i=_id: rules.line_findings(e.files).filter(F.col("rule_id") == i).select("rel_path", "line", "evidence"),
         f"SELECT rel_path, line, evidence FROM found WHERE rule_id = '{_id}'")
-from_estate("rule_dynamic_call", COBOL, lambda e: rules.described(rules.dynamic_findings(e.cobol.calls)).select("rel_path", "line", "title", "severity", "evidence"),
+from_estate("rule_dynamic_call", lambda e: rules.described(rules.dynamic_findings(e.cobol.calls)).select("rel_path", "line", "title", "severity", "evidence"),
     "SELECT rel_path, line, title, severity, evidence FROM found WHERE rule_id = 'LL-SEC-005'")
-from_estate("rule_evaluate_default", COBOL, lambda e: rules.evaluate_findings(e.files).select("rel_path", "line", "evidence"),
+from_estate("rule_evaluate_default", lambda e: rules.evaluate_findings(e.files).select("rel_path", "line", "evidence"),
     "SELECT rel_path, line, evidence FROM found WHERE rule_id = 'LL-SEC-008'")
-from_estate("rules_all_packs", CODE, lambda e: e.findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")), "SELECT rule_id, count(*) AS n FROM found GROUP BY rule_id")
-from_estate("findings_all", CODE, lambda e: e.findings.select("rule_id", "title", "severity", "cwe", "rel_path", "line", "evidence", findings.rank().alias("rank")),
+from_estate("rules_all_packs", lambda e: e.findings.groupBy("rule_id").agg(F.count(F.lit(1)).alias("n")), "SELECT rule_id, count(*) AS n FROM found GROUP BY rule_id")
+from_estate("findings_all", lambda e: e.findings.select("rule_id", "title", "severity", "cwe", "rel_path", "line", "evidence", findings.rank().alias("rank")),
     "SELECT *, CASE severity WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS rank FROM found")
 PACK = [
     {"id": "OWN-001", "title": "Long number", "severity": "low", "pattern": r"\b[0-9]{16}\b", "cwe": "CWE-359"},
@@ -317,11 +315,11 @@ query(
 )(lambda s, d: findings.sanitised(replies(s, d)))
 
 # --- findings' life --------------------------------------------------------------------------------
-from_estate("finding_fingerprint", CODE, lambda e: e.findings.select("rule_id", "rel_path", "line", "fingerprint"), "SELECT rule_id, rel_path, line, fingerprint FROM fp")
+from_estate("finding_fingerprint", lambda e: e.findings.select("rule_id", "rel_path", "line", "fingerprint"), "SELECT rule_id, rel_path, line, fingerprint FROM fp")
 controlled = lambda e: findings.with_controls(e.findings, findings.control_table(e.files.sparkSession))
-from_estate("compliance_map", CODE, lambda e: controlled(e).select("fingerprint", "line", F.array_join("controls", ",").alias("controls")),
+from_estate("compliance_map", lambda e: controlled(e).select("fingerprint", "line", F.array_join("controls", ",").alias("controls")),
     "SELECT fingerprint, line, coalesce((SELECT string_agg(DISTINCT control, ',' ORDER BY control) FROM controls c WHERE c.cwe = fp.cwe), '') AS controls FROM fp")
-from_estate("compliance_custom", CODE,
+from_estate("compliance_custom",
     lambda e: findings.with_controls(e.findings, findings.control_table(e.files.sparkSession, {"OWN": {"CWE-798": ["A.1", "A.2"]}})).groupBy(F.array_join("controls", ",").alias("controls")).agg(F.count(F.lit(1)).alias("n")),
     "SELECT CASE WHEN cwe = 'CWE-798' THEN 'OWN:A.1,OWN:A.2' ELSE '' END AS controls, count(*) AS n FROM fp GROUP BY 1")
 
@@ -332,28 +330,28 @@ def hushed(e: Estate) -> DataFrame:
     return findings.suppressed(e.findings, known)
 
 
-from_estate("findings_suppressed", CODE, lambda e: hushed(e).groupBy("suppressed").agg(F.count(F.lit(1)).alias("n")),
+from_estate("findings_suppressed", lambda e: hushed(e).groupBy("suppressed").agg(F.count(F.lit(1)).alias("n")),
     "SELECT starts_with(fingerprint, '0') AS suppressed, count(*) AS n FROM fp GROUP BY 1")
-from_estate("suppress_upsert", CODE,
+from_estate("suppress_upsert",
     lambda e: findings.add_suppressions(
         e.findings.filter(F.startswith("fingerprint", F.lit("0"))).select("fingerprint", F.lit("old").alias("reason")).distinct(),
         e.findings.filter(F.substring("fingerprint", 1, 1).isin("0", "1")).select("fingerprint", F.lit("new").alias("reason")),
     ),
     "SELECT DISTINCT fingerprint, CASE WHEN starts_with(fingerprint, '0') THEN 'old' ELSE 'new' END AS reason FROM fp WHERE fingerprint[1] IN ('0', '1')")
-from_estate("baseline_snapshot", CODE, lambda e: findings.baseline(e.findings), "SELECT DISTINCT fingerprint FROM fp")
+from_estate("baseline_snapshot", lambda e: findings.baseline(e.findings), "SELECT DISTINCT fingerprint FROM fp")
 old_baseline = lambda e: findings.baseline(e.findings.filter("rule_id != 'LL-SEC-008'")).unionByName(e.files.sparkSession.sql("SELECT 'ffff000011112222' AS fingerprint"))
-from_estate("diff_new", CODE, lambda e: findings.new_since(e.findings, old_baseline(e)).select("fingerprint", "rule_id"),
+from_estate("diff_new", lambda e: findings.new_since(e.findings, old_baseline(e)).select("fingerprint", "rule_id"),
     "SELECT DISTINCT fingerprint, rule_id FROM fp WHERE rule_id = 'LL-SEC-008'")
-from_estate("diff_resolved", CODE, lambda e: findings.resolved_since(e.findings, old_baseline(e)), "SELECT 'ffff000011112222' AS fingerprint")
-from_estate("gate_fail_on", CODE, lambda e: findings.gate(hushed(e), "medium"),
+from_estate("diff_resolved", lambda e: findings.resolved_since(e.findings, old_baseline(e)), "SELECT 'ffff000011112222' AS fingerprint")
+from_estate("gate_fail_on", lambda e: findings.gate(hushed(e), "medium"),
     "SELECT count(*) AS n, count(*) > 0 AS failed FROM fp WHERE severity IN ('high', 'medium') AND NOT starts_with(fingerprint, '0')")
-from_estate("findings_summary", CODE, lambda e: findings.summary(hushed(e)),
+from_estate("findings_summary", lambda e: findings.summary(hushed(e)),
     "SELECT count(*) AS total, 0::BIGINT AS review, count(*) FILTER (starts_with(fingerprint, '0')) AS suppressed, count(*) FILTER (severity = 'high') AS high FROM fp")
-from_estate("findings_by_severity", CODE, lambda e: e.findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n")), "SELECT severity, count(*) AS n FROM fp GROUP BY 1")
-from_estate("findings_by_source", CODE, lambda e: e.findings.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "SELECT 'rule' AS source, count(*) AS n FROM fp")
-from_estate("compliance_counts", CODE, lambda e: findings.control_counts(findings.with_controls(hushed(e), findings.control_table(e.files.sparkSession))),
+from_estate("findings_by_severity", lambda e: e.findings.groupBy("severity").agg(F.count(F.lit(1)).alias("n")), "SELECT severity, count(*) AS n FROM fp GROUP BY 1")
+from_estate("findings_by_source", lambda e: e.findings.groupBy("source").agg(F.count(F.lit(1)).alias("n")), "SELECT 'rule' AS source, count(*) AS n FROM fp")
+from_estate("compliance_counts", lambda e: findings.control_counts(findings.with_controls(hushed(e), findings.control_table(e.files.sparkSession))),
     "SELECT coalesce(control, 'unmapped') AS control, count(*) AS n FROM fp LEFT JOIN controls USING (cwe) WHERE NOT starts_with(fingerprint, '0') GROUP BY 1")
-from_estate("findings_list", CODE, lambda e: e.findings.select("fingerprint", "rule_id", "title", "severity", "rel_path", "line"), "SELECT fingerprint, rule_id, title, severity, rel_path, line FROM fp")
+from_estate("findings_list", lambda e: e.findings.select("fingerprint", "rule_id", "title", "severity", "rel_path", "line"), "SELECT fingerprint, rule_id, title, severity, rel_path, line FROM fp")
 
 # --- index -----------------------------------------------------------------------------------------
 INDEX = """WITH s AS (SELECT 'doc/' || doc_id AS rel_path, sha256(text) AS old, CASE WHEN doc_id % 13 = 0 THEN 'removed' ELSE 'active' END AS was FROM documents WHERE doc_id % 7 <> 0),
@@ -425,34 +423,34 @@ query(
 # --- reports ---------------------------------------------------------------------------------------
 ID_SQL = "'n_' || regexp_replace({}, '[^A-Za-z0-9]', '_', 'g')"
 NODE, SRC, DST = ID_SQL.format("key"), ID_SQL.format("src"), ID_SQL.format("dst")
-from_estate("emit_ids", (), lambda e: e.graph.nodes.select("key", emit.node_id(F.col("key")).alias("id")), f"SELECT key, {NODE} AS id FROM nodes")
-from_estate("emit_dot_lines", (), lambda e: emit.dot_lines(e.graph.nodes, e.graph.edges),
+from_estate("emit_ids", lambda e: e.graph.nodes.select("key", emit.node_id(F.col("key")).alias("id")), f"SELECT key, {NODE} AS id FROM nodes")
+from_estate("emit_dot_lines", lambda e: emit.dot_lines(e.graph.nodes, e.graph.edges),
     f"""SELECT 'node' AS part, '  ' || {NODE} || ' [label="' || name || '\\n(' || type || ')", shape=' || CASE type WHEN 'copybook' THEN 'note' WHEN 'job' THEN 'component' WHEN 'dataset' THEN 'cylinder'
       WHEN 'table' THEN 'cylinder' ELSE 'box' END || CASE WHEN defined THEN '' ELSE ', style=dashed, color="red"' END || '];' AS row FROM nodes
     UNION ALL SELECT 'edge', '  ' || {SRC} || ' -> ' || {DST} || ' [label="' || type || '"' || CASE WHEN type = 'dynamic_call' THEN ', style=dashed' ELSE '' END || '];' FROM edges""")
-from_estate("emit_mermaid_lines", (), lambda e: emit.mermaid_lines(e.graph.nodes, e.graph.edges),
+from_estate("emit_mermaid_lines", lambda e: emit.mermaid_lines(e.graph.nodes, e.graph.edges),
     f"""SELECT 'node' AS part, '  ' || {NODE} || CASE WHEN type IN ('dataset', 'table') THEN '[(' WHEN defined THEN '[' ELSE '(' END || name || '<br/>(' || type || ')' ||
       CASE WHEN type IN ('dataset', 'table') THEN ')]' WHEN defined THEN ']' ELSE ')' END AS row FROM nodes
     UNION ALL SELECT 'edge', '  ' || {SRC} || CASE WHEN type = 'dynamic_call' THEN ' -.->|' ELSE ' -->|' END || type || '| ' || {DST} FROM edges""")
-from_estate("emit_graphml_lines", (), lambda e: emit.graphml_lines(e.graph.nodes),
+from_estate("emit_graphml_lines", lambda e: emit.graphml_lines(e.graph.nodes),
     """SELECT key, '<node id="' || key || '"><data key="type">' || type || '</data><data key="defined">' || CASE WHEN defined THEN 'true' ELSE 'false' END || '</data></node>' AS row FROM nodes""")
-from_estate("emit_json_rows", CODE, lambda e: emit.json_rows(e.findings),
+from_estate("emit_json_rows", lambda e: emit.json_rows(e.findings),
     """SELECT fingerprint, '{"rule_id":"' || rule_id || '","severity":"' || severity || '","rel_path":"' || rel_path || '","line":' || line || '}' AS row FROM fp""")
-from_estate("emit_sarif_results", CODE, lambda e: emit.sarif_results(e.findings).drop("message"),
+from_estate("emit_sarif_results", lambda e: emit.sarif_results(e.findings).drop("message"),
     "SELECT fingerprint, rule_id AS ruleId, CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, rel_path, line AS startLine FROM fp")
-from_estate("emit_sarif_rules", CODE, lambda e: emit.sarif_rules(e.findings).select("rule_id", "name", "cwe"),
+from_estate("emit_sarif_rules", lambda e: emit.sarif_rules(e.findings).select("rule_id", "name", "cwe"),
     "SELECT rule_id, title AS name, cwe FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY rel_path, line) AS r FROM fp) WHERE r = 1")
-from_estate("doc_dependency_lines", COBOL, lambda e: emit.dependency_lines(e.cobol.calls, e.cobol.copies),
+from_estate("doc_dependency_lines", lambda e: emit.dependency_lines(e.cobol.calls, e.cobol.copies),
     """SELECT rel_path, line, '- calls `' || target || '`' || CASE WHEN dynamic THEN ' (dynamic)' ELSE '' END || ' (`' || rel_path || ':' || line || '`)' AS row FROM calls
     UNION ALL SELECT path, 6, '- copies `N' || (k % 25) || '` (`' || path || ':6`)' FROM part_k""")
-from_estate("doc_fallback_purpose", COBOL,
+from_estate("doc_fallback_purpose",
     lambda e: e.cobol.programs.join(e.cobol.calls.groupBy("rel_path").agg(F.count(F.lit(1)).alias("n_calls")), "rel_path", "left").select(
         "rel_path", emit.fallback_purpose(F.when(F.col("is_copybook"), "Copybook").otherwise("Program"), F.col("n_paragraphs"), F.col("n_items"), F.coalesce("n_calls", F.lit(0))).alias("purpose")
     ),
     """SELECT path AS rel_path, 'Program containing 2 paragraph(s), 2 data item(s), ' || (SELECT count(*) FROM calls WHERE rel_path = path) || ' CALL(s). (Enable the LLM for a natural-language summary.)' AS purpose FROM part_k
     UNION ALL SELECT path, 'Program containing 1 paragraph(s). (Enable the LLM for a natural-language summary.)' FROM leaf
     UNION ALL SELECT path, 'Copybook containing 2 data item(s). (Enable the LLM for a natural-language summary.)' FROM book""")
-from_estate("analyze_totals", (), lambda e: e.totals,
+from_estate("analyze_totals", lambda e: e.totals,
     """SELECT (SELECT count(*) FROM part_k) + (SELECT count(*) FROM leaf) AS programs, (SELECT count(*) FROM book) AS copybooks, 2 * (SELECT count(*) FROM part_k) + (SELECT count(*) FROM leaf) AS paragraphs,
       2 * (SELECT count(*) FROM part_k) + 2 * (SELECT count(*) FROM book) AS data_items, 0::BIGINT AS low_confidence, (SELECT count(*) FROM calls) AS calls, (SELECT count(*) FROM part_k) AS copies,
       (SELECT count(*) FROM sql_tables) AS sql_tables, (SELECT count(*) FROM orders) AS jcl_jobs, (SELECT count(*) FROM step) AS jcl_steps, (SELECT count(*) FROM region) AS pli_programs, 2 * (SELECT count(*) FROM region) AS pli_procedures""")

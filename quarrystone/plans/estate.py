@@ -16,6 +16,10 @@ from ..operators.graph import Graph
 from ..operators.jcl import Jcl
 from ..operators.pli import Pli
 from ..sources import estate as rendering
+from ..sources.storage import materialise
+
+
+_RENDERED: dict[tuple[str, str], "Estate"] = {}
 
 
 @dataclass
@@ -25,20 +29,12 @@ class Estate:
     files: DataFrame
 
     @classmethod
-    def rendered(cls, spark: SparkSession, sf_dir: str, *parts: str) -> "Estate":
-        """The estate rendered from tables; parts: programs, leaves, copybooks, jobs, pli (all by default)."""
-        makers = {
-            "programs": rendering.programs,
-            "leaves": rendering.leaves,
-            "copybooks": rendering.copybooks,
-            "jobs": rendering.jobs,
-            "pli": rendering.pli_programs,
-        }
-        made = [makers[p](spark, sf_dir) for p in (parts or makers)]
-        whole = made[0]
-        for more in made[1:]:
-            whole = whole.unionByName(more)
-        return cls(classified(whole))
+    def rendered(cls, spark: SparkSession, sf_dir: str) -> "Estate":
+        """The estate rendered from tables; a session renders each once and keeps its tables in the shared folder."""
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in _RENDERED:
+            _RENDERED[key] = cls(materialise(classified(rendering.render(spark, sf_dir)), "files"))
+        return _RENDERED[key]
 
     def of(self, language: str) -> DataFrame:
         return self.files.filter(F.col("language") == language)
@@ -61,7 +57,7 @@ class Estate:
 
     @cached_property
     def findings(self) -> DataFrame:
-        return life.fingerprinted(rules.findings(self.files, self.cobol.calls))
+        return materialise(life.fingerprinted(rules.findings(self.files, self.cobol.calls)), "findings")
 
     @cached_property
     def totals(self) -> DataFrame:
