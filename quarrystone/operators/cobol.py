@@ -5,16 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import all_groups, group, has, lines, outside, rstrip, split_lines
 from ..sources.storage import materialise
 
-FILE = Window.partitionBy("rel_path").orderBy("line")
-BEFORE = FILE.rowsBetween(Window.unboundedPreceding, -1)
-SO_FAR = FILE.rowsBetween(Window.unboundedPreceding, 0)
+
+def so_far(to: int = 0) -> WindowSpec:
+    """A file's lines up to this one, or up to the one before."""
+    return Window.partitionBy("rel_path").orderBy("line").rowsBetween(Window.unboundedPreceding, to)
 
 
 def fixed_format(files: DataFrame) -> DataFrame:
@@ -48,7 +49,7 @@ class Cobol:
         """
         code = F.col("code")
         marked = code_lines(self.files).withColumn("ends", has(code, P.END_EXEC)).withColumn("starts", has(code, P.EXEC))
-        marked = marked.withColumn("seg", F.coalesce(F.sum(F.col("ends").cast("int")).over(BEFORE), F.lit(0)))
+        marked = marked.withColumn("seg", F.coalesce(F.sum(F.col("ends").cast("int")).over(so_far(-1)), F.lit(0)))
         segment = Window.partitionBy("rel_path", "seg")
         opens = F.min(F.when(F.col("starts") & ~F.col("ends"), F.col("line"))).over(segment)
         closed = F.max("ends").over(segment)
@@ -59,8 +60,8 @@ class Cobol:
         division = F.when(division == "ID", "IDENTIFICATION").otherwise(division)
         marked = marked.withColumn("new_division", division)
         pid = F.when(~F.col("in_exec") & F.col("new_division").isNull(), F.upper(group(code, P.PROGRAM_ID)))
-        marked = marked.withColumn("pid", pid).withColumn("division", F.last("new_division", True).over(SO_FAR))
-        first_pid = F.col("pid").isNotNull() & (F.count("pid").over(BEFORE) == 0)
+        marked = marked.withColumn("pid", pid).withColumn("division", F.last("new_division", True).over(so_far()))
+        first_pid = F.col("pid").isNotNull() & (F.count("pid").over(so_far(-1)) == 0)
         marked = marked.withColumn("is_pid", first_pid)
         plain = ~F.col("in_exec") & F.col("new_division").isNull() & ~F.col("is_pid")
         section = F.when(plain, F.upper(group(code, P.SECTION)))
@@ -141,7 +142,7 @@ class Cobol:
     def paragraphs(self) -> DataFrame:
         # A division's start ends the section; the last of both events says where a line stands.
         event = F.when(F.col("new_division").isNotNull(), "").otherwise(F.col("section"))
-        inside = F.nullif(F.last(event, True).over(SO_FAR), F.lit(""))
+        inside = F.nullif(F.last(event, True).over(so_far()), F.lit(""))
         return self.placed.withColumn("in_section", inside).filter("paragraph IS NOT NULL").select("rel_path", "line", F.col("paragraph").alias("name"), F.col("in_section").alias("section"))
 
     @cached_property

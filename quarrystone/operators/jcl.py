@@ -5,14 +5,17 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions import patterns as P
 from ..functions.text import group, has, lines, member, strip
 from ..sources.storage import materialise
 
-SO_FAR = Window.partitionBy("rel_path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+
+def so_far() -> WindowSpec:
+    """A member's lines up to this one."""
+    return Window.partitionBy("rel_path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
 
 
 @dataclass
@@ -30,7 +33,7 @@ class Jcl:
         cards = cards.withColumn("goes_on", goes_on).withColumn("part", F.when(goes_on, strip(tail)).otherwise(F.col("raw")))
         first = F.row_number().over(Window.partitionBy("rel_path").orderBy("line")) == 1
         cards = cards.withColumn("starts", (~F.col("goes_on") | first).cast("int"))
-        cards = cards.withColumn("no", F.sum("starts").over(SO_FAR)).withColumn("part", F.when(F.col("starts") == 1, F.col("raw")).otherwise(F.col("part")))
+        cards = cards.withColumn("no", F.sum("starts").over(so_far())).withColumn("part", F.when(F.col("starts") == 1, F.col("raw")).otherwise(F.col("part")))
         text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "part"))), lambda x: x["part"]), " ")
         whole = cards.groupBy("rel_path", "no").agg(F.min("line").alias("line"), text.alias("s"))
         s = F.col("s")
@@ -48,7 +51,7 @@ class Jcl:
 
     @cached_property
     def numbered(self) -> DataFrame:
-        step = F.sum((F.col("verb") == "EXEC").cast("int")).over(SO_FAR)
+        step = F.sum((F.col("verb") == "EXEC").cast("int")).over(so_far())
         return self.statements.withColumn("step", step)
 
     @cached_property
