@@ -5,15 +5,15 @@ its smallest id stands for. A class's signature has `coords` coordinates, each a
 
 1. Post each class under its coordinate-value pairs, on a prefix of the coordinates only: two classes that
    agree on `match` or more of all coordinates agree on at least one of the first coords - match + 1.
-2. Link each class of a posting list to the list's smallest class, count collisions from one byte per
-   coordinate carried along, and keep pairs that reach `match`; those whose set sizes can't give the
-   threshold are skipped. Each class is first held against its best centre only.
+2. Link each class of a posting list to the list's centre, the class that meets most others; count the collisions of all their minima from
+   seven bits of each, and keep pairs that reach `agree`; those whose set sizes can't give the threshold are
+   skipped. Each class is first held against its best centre only.
 3. Confirm pairs on the full sets, read again from the whole texts, and join links into components.
 4. Lists that still hold several components are merged once more: all members outside a list's largest
    component against the whole list. What was a large group of near copies is one component by then, so no
    group is expanded into all its pairs; yet no pair of a list stays untested unless it is connected.
 
-`match` follows from the threshold: a pair at the threshold falls below it once in a million.
+`match` and `agree` follow from the threshold: a pair at the threshold falls below one with odds of `miss`.
 
 Defined cases: a null or empty text, or one without words, has an empty set and is linked with nothing; with
 fewer words than a shingle has, the whole sequence is the one shingle; rows of one doc_id are one document,
@@ -41,31 +41,41 @@ GROUP = 512
 
 @dataclass(frozen=True)
 class Params:
-    """shingle words; links at percent * union <= 100 * intersection; signature of coords (a multiple of 8) times rows minima."""
+    """shingle words; links at percent * union <= 100 * intersection; signature of coords times rows minima."""
 
     shingle: int = 5
     percent: int = 80
-    coords: int = 32
-    rows: int = 4
-    miss: float = 1e-6
+    coords: int = 40
+    rows: int = 6
+    miss: float = 1e-5
 
     @property
     def match(self) -> int:
-        """The largest number of agreeing coordinates that a pair at the threshold misses with odds of `miss` at most."""
-        p, below = (self.percent / 100) ** self.rows, 0.0
-        for t in range(self.coords):
-            below += comb(self.coords, t) * p**t * (1 - p) ** (self.coords - t)
-            if below > self.miss:
-                return max(1, t)
-        return self.coords
+        """Coordinates that a pair at the threshold agrees on, but for odds of `miss`; one at least."""
+        return max(1, least_of(self.coords, (self.percent / 100) ** self.rows, self.miss))
+
+    @property
+    def agree(self) -> int:
+        """The same of single minima."""
+        return least_of(self.coords * self.rows, self.percent / 100, self.miss)
 
     @property
     def prefix(self) -> int:
         return self.coords - self.match + 1
 
 
+def least_of(n: int, p: float, miss: float) -> int:
+    """The largest number that a binomial count of n tries falls below with odds of `miss` at most."""
+    below = 0.0
+    for t in range(n):
+        below += comb(n, t) * p**t * (1 - p) ** (n - t)
+        if below > miss:
+            return t
+    return n
+
+
 class Signatures:
-    """Coordinates and their bytes for sets of hashes."""
+    """Coordinates of sets of hashes, and seven bits of each minimum, seven minima in a long with a zero bit before each."""
 
     def __init__(self, params: Params):
         self.params = params
@@ -75,7 +85,7 @@ class Signatures:
         self.b = rng.integers(0, 2**32, n, dtype=np.uint32)[:, None]
         self.salt = rng.integers(0, 2**63, params.coords, dtype=np.uint64)
 
-    def __call__(self, own: np.ndarray) -> tuple[np.ndarray, bytes]:
+    def __call__(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (own ^ (own >> np.uint64(32))).astype(np.uint32)
         low = np.full(len(self.a), 0xFFFFFFFF, np.uint32)
         for i in range(0, len(x), 1024):
@@ -84,7 +94,10 @@ class Signatures:
         out = self.salt.copy()
         for j in range(self.params.rows):
             out = mix64(out + parts[:, j])
-        return out.view(np.int64), (out >> np.uint64(56)).astype(np.uint8).tobytes()
+        bits = np.zeros(-(-len(low) // 7) * 7, np.uint64)
+        bits[: len(low)] = (low * np.uint32(0x9E3779B1)) >> np.uint32(25)
+        packed = (bits.reshape(-1, 7) << (np.arange(7, dtype=np.uint64) * np.uint64(8))).sum(1, dtype=np.uint64)
+        return out.view(np.int64), packed.view(np.int64)
 
 
 def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
@@ -92,7 +105,7 @@ def shingle_set(words: np.ndarray, k: int) -> np.ndarray:
 
 
 def features(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (set size), f1 and f2 (the set's fingerprint; null for an empty set), coords and sig (the coordinates' bytes)."""
+    """id, n (set size), f1 and f2 (the set's fingerprint; null for an empty set), coords and sig (the minima's bits)."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -113,7 +126,7 @@ def features(docs: DataFrame, params: Params, id_col: str = "doc_id", text_col:
             yield out
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInPandas(run, f"id {kind}, n long, f1 long, f2 long, coords array<long>, sig binary")
+    return picked.mapInPandas(run, f"id {kind}, n long, f1 long, f2 long, coords array<long>, sig array<long>")
 
 
 def close_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -121,16 +134,13 @@ def close_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def agreeing(a: Column, b: Column, coords: int) -> Column:
-    """How many of the bytes of two signatures, given as arrays of longs, agree."""
+def agreeing(a: Column, b: Column, n: int) -> Column:
+    """How many of n minima of two signatures agree: adding 0x7F to a byte below 0x80 sets its high bit unless it is zero."""
     differ = F.lit(0)
-    for i in range(coords // 8):
-        x = a[i].bitwiseXOR(b[i])
-        # Each byte's bits are folded into its lowest one.
-        for by, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, by)).bitwiseAND(F.lit(mask))
-        differ = differ + F.bit_count(x)
-    return F.lit(coords) - differ
+    for i in range(-(-n // 7)):
+        some = (a[i].bitwiseXOR(b[i]) + F.lit(0x007F7F7F7F7F7F7F)).bitwiseAND(F.lit(0x0080808080808080))
+        differ = differ + F.bit_count(some)
+    return F.lit(n) - differ
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, params: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,28 +219,27 @@ def components(links: DataFrame, max_rounds: int = 100) -> DataFrame:
 
 def link_classes(docs: DataFrame, params: Params, feats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Classes (f1, f2, rep) and the components (id, component) of the linked ones."""
-    words = [
-        F.conv(F.hex(F.substring("sig", i + 1, 8)), 16, -10).cast("long").alias(f"w{i // 8}") for i in range(0, params.coords, 8)
-    ]
     classes = (
         feats.filter(F.col("f1").isNotNull() & F.col("id").isNotNull())
         .groupBy("f1", "f2")
         .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("coords").alias("coords"), F.first("sig").alias("sig"))
-        .select("f1", "f2", "rep", "n", "coords", F.array(*words).alias("sig"))
     )
     classes = materialise(classes, "classes")
     facts = classes.select("rep", "n", "sig")
     postings = classes.select("rep", F.explode("coords").alias("key"))
-    centres = postings.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("high"))
-    centres = centres.filter(F.col("centre") != F.col("high")).drop("high")
-    lists = materialise(postings.join(centres, "key"), "lists")
+    # The member that meets most others is a list's centre: an original meets its edited copies more than they each other.
+    sizes = postings.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high"))
+    shared = materialise(postings.join(sizes.filter("low != high").select("key", "size"), "key"), "shared")
+    meets = shared.groupBy("rep").agg(F.sum("size").alias("meets"))
+    centres = shared.join(meets, "rep").groupBy("key").agg(F.max(F.struct("meets", "rep")).alias("top")).select("key", F.col("top.rep").alias("centre"))
+    lists = materialise(shared.select("key", "rep").join(centres, "key"), "lists")
 
     def counted(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that can reach the threshold, with the number of agreeing coordinates."""
         one = facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
         two = facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
         met = pairs.join(one, "a").join(two, "b").filter(close_sizes(F.col("na"), F.col("nb"), params.percent))
-        return met.withColumn("hits", agreeing(F.col("sa"), F.col("sb"), params.coords)).filter(F.col("hits") >= params.match)
+        return met.withColumn("hits", agreeing(F.col("sa"), F.col("sb"), params.coords * params.rows)).filter(F.col("hits") >= params.agree)
 
     stars = lists.filter(F.col("rep") != F.col("centre")).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     best = counted(stars).groupBy("b").agg(F.max_by("a", "hits").alias("a")).select("a", "b")
@@ -261,7 +270,7 @@ def remaining(lists: DataFrame, found: DataFrame, facts: DataFrame, params: Para
     )
     other = members.select("key", F.col("rep").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     near = (F.col("pa") != F.col("pb")) & close_sizes(F.col("na"), F.col("nb"), params.percent)
-    near &= agreeing(F.col("sa"), F.col("sb"), params.coords) >= params.match
+    near &= agreeing(F.col("sa"), F.col("sb"), params.coords * params.rows) >= params.agree
     on = stray["key"] == other["key"]
     met = stray.join(other, on & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return met.distinct()
