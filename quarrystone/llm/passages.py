@@ -41,7 +41,8 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 class Params:
     k: int = 6
     window: int = 12
-    max_gap: int = 24
+    max_gap: int = 96
+    break_gap: int = 24
     min_words: int = 45
     least_identity: float = 0.75
 
@@ -111,7 +112,7 @@ def clusters(x: np.ndarray, params: Params) -> np.ndarray:
     """Which of a document's seeds lie in a cluster wide enough for a passage, whatever their sources."""
     order = np.argsort(x)
     at = x[order]
-    cut = np.flatnonzero(np.diff(at) > params.max_gap + params.k)
+    cut = np.flatnonzero(np.diff(at) > params.break_gap + params.k)
     first, last = np.r_[0, cut + 1], np.r_[cut, len(at) - 1]
     wide = at[last] + params.k - at[first] >= params.least_cluster
     out = np.zeros(len(x), bool)
@@ -141,28 +142,50 @@ def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return (best + 1, int(same[: best + 1].sum())) if gain[best] > 0 else (0, 0)
 
 
-def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, params: Params) -> tuple[int, int, int, int, int] | None:
-    """Word ranges of both texts and equal words of a chain with matches (x, y); None where its seeds don't hold."""
-    k, reach = params.k, 4 * params.max_gap
+def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, params: Params) -> list[tuple[int, int, int, int, int]]:
+    """Word ranges of both texts and equal words for what a chain with matches (x, y) aligns; none where its seeds don't hold.
+
+    Runs of matches on one diagonal are compared word by word and cut where over break_gap words differ in a row; two
+    parts are joined across a shift of at most break_gap words by edit distance.
+    """
+    k, reach, wide = params.k, 4 * params.break_gap, params.break_gap
     fits = (x + k <= len(a)) & (y + k <= len(b))
     x, y = x[fits], y[fits]
-    if len(x):
-        right = (a[x[:, None] + np.arange(k)] == b[y[:, None] + np.arange(k)]).all(1)
-        x, y = x[right], y[right]
     if not len(x):
-        return None
-    equal = k
-    for i in range(1, len(x)):
-        x0, y0 = x[i - 1] + k, y[i - 1] + k
-        if x[i] - x[i - 1] == y[i] - y[i - 1]:
-            equal += int((a[x0 : x[i] + k] == b[y0 : y[i] + k]).sum()) if x0 < x[i] + k else 0
-        else:
-            equal += min(k, max(0, x[i] + k - x0), max(0, y[i] + k - y0))
-            if x0 < x[i] and y0 < y[i]:
-                equal += edit_matches(a[x0 : x[i]], b[y0 : y[i]])
-    back, more = extend(a[max(0, x[0] - reach) : x[0]][::-1], b[max(0, y[0] - reach) : y[0]][::-1])
-    on, most = extend(a[x[-1] + k : x[-1] + k + reach], b[y[-1] + k : y[-1] + k + reach])
-    return int(x[0] - back), int(x[-1] + k + on), int(y[0] - back), int(y[-1] + k + on), equal + more + most
+        return []
+    firsts = np.flatnonzero(np.r_[True, np.diff(x - y) != 0])
+    parts: list[list[int]] = []
+    for f, n in zip(firsts.tolist(), np.r_[firsts[1:], len(x)].tolist()):
+        x0, y0, size = int(x[f]), int(y[f]), int(x[n - 1] - x[f]) + k
+        same = np.flatnonzero(a[x0 : x0 + size] == b[y0 : y0 + size])
+        if not len(same):
+            continue
+        cut = np.flatnonzero(np.diff(same) > wide)
+        for i, j in zip(np.r_[0, cut + 1].tolist(), np.r_[cut, len(same) - 1].tolist()):
+            lo, hi = int(same[i]), int(same[j]) + 1
+            parts.append([x0 + lo, x0 + hi, y0 + lo, y0 + hi, j - i + 1])
+    done: list[list[int]] = []
+    for part in parts:
+        if done:
+            last = done[-1]
+            over = max(0, last[1] - part[0], last[3] - part[2])
+            if over:  # overlapping seeds of two diagonals: the later part gives way
+                part = [part[0] + over, part[1], part[2] + over, part[3], part[4] - over]
+            gap_a, gap_b = part[0] - last[1], part[2] - last[3]
+            if part[0] >= part[1]:
+                continue
+            if gap_a <= wide and gap_b <= wide:
+                last[4] += max(0, part[4]) + (edit_matches(a[last[1] : part[0]], b[last[3] : part[2]]) if gap_a and gap_b else 0)
+                last[1], last[3] = part[1], part[3]
+                continue
+        done.append(part)
+    out = []
+    for x0, x1, y0, y1, equal in done:
+        back, more = extend(a[max(0, x0 - reach) : x0][::-1], b[max(0, y0 - reach) : y0][::-1])
+        on, most = extend(a[x1 : x1 + reach], b[y1 : y1 + reach])
+        if x1 - x0 + back + on >= params.k:
+            out.append((x0 - back, x1 + on, y0 - back, y1 + on, equal + more + most))
+    return out
 
 
 def seeds(docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
@@ -203,7 +226,13 @@ def chained(matches: DataFrame, params: Params, kind: str) -> DataFrame:
         out = []
         for s in pd.unique(src):
             at = np.flatnonzero(src == s)
+            held: list[tuple[int, int]] = []
             for c in chains(x[at], y[at], params):
+                # A chain inside a better one's range tells nothing new.
+                span = int(x[at[c[0]]]), int(x[at[c[-1]]])
+                if any(a <= span[0] and span[1] <= b for a, b in held):
+                    continue
+                held.append(span)
                 out.append((own, s, x[at[c]].astype("<i4").tobytes(), y[at[c]].astype("<i4").tobytes()))
         return out
 
@@ -226,10 +255,9 @@ def aligned(found: DataFrame, docs: DataFrame, params: Params, id_col: str, text
     """Aligned chains: id, mark (of the text), src, word and character ranges, equal words."""
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    per_pair = found.groupBy("id", "src").agg(F.collect_list(F.struct("xs", "ys")).alias("chains"))
+    per_pair = materialise(found.groupBy("id", "src").agg(F.collect_list(F.struct("xs", "ys")).alias("chains")), "chains")
     counts = per_pair.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts"))
     salted = per_pair.join(counts, "src").withColumn("salt", F.pmod(F.xxhash64("id"), "salts"))
-    salted = materialise(salted.select("id", "src", "salt", "chains"), "chains")
     members = salted.select("id", "src", "salt", F.lit(1).alias("role"), "chains")
     none = F.lit(None).cast("array<struct<xs:binary,ys:binary>>").alias("chains")
     sources = salted.select("src", "salt").distinct().select(F.col("src").alias("id"), "src", "salt", F.lit(0).alias("role"), none)
@@ -258,15 +286,11 @@ def aligned(found: DataFrame, docs: DataFrame, params: Params, id_col: str, text
                 for c in found_:
                     x, y = np.frombuffer(c["xs"], "<i4"), np.frombuffer(c["ys"], "<i4")
                     for other in sources_:
-                        got = align(words, other, x, y, params)
-                        if got is None:
-                            continue
-                        a0, a1, b0, b1, equal = got
-                        if equal < params.least_identity * max(a1 - a0, b1 - b0):
-                            continue
-                        spans = spans or [m.span() for m in WORD.finditer(text)]
-                        out.append((own, mark, src, a0, a1, b0, b1, spans[a0][0], spans[a1 - 1][1], equal))
-                        break
+                        got = [g for g in align(words, other, x, y, params) if g[4] >= params.least_identity * max(g[1] - g[0], g[3] - g[2])]
+                        if got:
+                            spans = spans or [m.span() for m in WORD.finditer(text)]
+                            out += [(own, mark, src, *g[:4], spans[g[0]][0], spans[g[1] - 1][1], g[4]) for g in got]
+                            break
             yield pd.DataFrame(out, columns=["id", "mark", "src", "a0", "a1", "b0", "b1", "c0", "c1", "equal"])
 
     schema = f"id {kind}, mark long, src {kind}, a0 int, a1 int, b0 int, b1 int, c0 int, c1 int, equal int"
