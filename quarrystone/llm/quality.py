@@ -20,12 +20,12 @@ stay; repeated rows are judged each; an empty table gives an empty result; furth
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,24 +55,21 @@ class Params:
 STRIP = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’¿¡…"
 
 
-def pieces(word: str) -> set[int]:
-    """Hashes of a word and of its runs of 4 to 6 signs, its borders marked."""
-    marked = f"^{word}$".encode("utf-32-le", "surrogatepass")
-    runs = {marked}
-    for n in (16, 20, 24):
-        runs.update(marked[i : i + n] for i in range(0, len(marked) - n + 1, 4))
-    return {xxhash.xxh3_64_intdigest(r) >> 1 for r in runs}
+def pieces(word: str) -> set[str]:
+    """A word and its runs of 4 to 6 signs, its borders marked."""
+    marked = f"^{word}$"
+    return {marked, *(marked[i : i + n] for n in (4, 5, 6) for i in range(len(marked) - n + 1))}
 
 
 class Reader:
     """Features and shape of texts; a bounded cache holds tokens seen.
 
-    With a model's words, features are the numbers of those that a text holds; without, all its pieces' hashes.
+    With a model's words, features are the numbers of those that a text holds; without, all its pieces.
     """
 
-    def __init__(self, words: np.ndarray | None = None, limit: int = TOKEN_CACHE):
+    def __init__(self, words: list[str] | None = None, limit: int = TOKEN_CACHE):
         self.limit, self.known = limit, {}
-        self.number = None if words is None else {w: i for i, w in enumerate(words.tolist())}
+        self.number = None if words is None else {w: i for i, w in enumerate(words)}
 
     def learn(self, token: str) -> tuple:
         """Features, whether upper case, signs behind, signs alone, digits, and the word's length."""
@@ -80,17 +77,21 @@ class Reader:
         if not any(c.isalnum() for c in core):
             return (), 0, 0, 1, 0, len(token)
         behind = token[len(token.rstrip(STRIP)) :]
-        own = pieces(core.lower())
-        if self.number is not None:
-            own = [self.number[w] for w in own if w in self.number]
+        if self.number is None:
+            own = pieces(core.lower())
+        else:
+            marked, get = f"^{core.lower()}$", self.number.get
+            own = {get(marked[i : i + n]) for n in (4, 5, 6) for i in range(len(marked) - n + 1)}
+            own.add(get(marked))
+            own.discard(None)
         return (
             tuple(own), int(len(core) > 1 and core.isupper()), int(len(behind) > 1), 0, int(any(c.isdigit() for c in core)), len(core)
         )
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    def __call__(self, text: str | None) -> tuple[list, np.ndarray]:
         tokens = (text or "").split()
         if not tokens:
-            return np.zeros(0, np.int64), np.zeros(len(SHAPE))
+            return [], np.zeros(len(SHAPE))
         known = self.known
         if len(known) > self.limit:
             known.clear()
@@ -107,18 +108,18 @@ class Reader:
             [*(sum(x) / n for x in figures[:4]), sum(figures[4]) / n / 10, len(set(tokens)) / n, len(set(lines)) / max(1, len(lines)), np.log1p(n) / 10]
         )
         own = {i for f in features if f for i in f}
-        return np.fromiter(own, np.int64, len(own)), shape * SHAPE_SCALE
+        return list(own), shape * SHAPE_SCALE
 
 
 @dataclass
 class Model:
-    """Weights by piece of a word (hashes, sorted) and of the shape's figures, for each target; None: a target without examples."""
+    """Weights by piece of a word and of the shape's figures, for each target; None: a target without examples."""
 
-    words: np.ndarray
+    words: list[str]
     weights: dict[str, np.ndarray | None] = field(default_factory=dict)
     base: dict[str, float] = field(default_factory=dict)
 
-    def probability(self, target: str, own: np.ndarray, shape: np.ndarray) -> float:
+    def probability(self, target: str, own: list[int], shape: np.ndarray) -> float:
         w = self.weights.get(target)
         if w is None:
             return 0.5 if target == "good" else 0.0
@@ -162,14 +163,17 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: s
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader()
         for pdf in batches:
-            own = [reader(t)[0] for t in pdf["text"]]
-            sizes = [len(w) for w in own]
-            word, at = np.unique(np.concatenate([*own, np.zeros(0, np.int64)]), return_inverse=True)
-            sums = {t: np.bincount(at, np.repeat(pdf[t].to_numpy(), sizes), len(word)).astype(np.int64) for t in TARGETS}
-            yield pd.DataFrame({"word": word, "n": np.bincount(at, minlength=len(word)), **sums})
+            seen, marked = Counter(), {t: Counter() for t in TARGETS}
+            for text, *kinds in zip(pdf["text"], *(pdf[t] for t in TARGETS)):
+                own = reader(text)[0]
+                seen.update(own)
+                for t, kind in zip(TARGETS, kinds):
+                    if kind:
+                        marked[t].update(own)
+            yield pd.DataFrame({"word": list(seen), "n": list(seen.values()), **{t: [c[w] for w in seen] for t, c in marked.items()}})
 
     counts = (
-        sample.mapInPandas(count, "word long, n long, good long, toxic long")
+        sample.mapInPandas(count, "word string, n long, good long, toxic long")
         .groupBy("word")
         .agg(F.sum("n").alias("n"), F.sum("good").alias("good"), F.sum("toxic").alias("toxic"))
         .filter(F.col("n") >= params.least_documents)
@@ -187,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: s
         for t in TARGETS
         for r in counts.filter(evidence(t) >= params.least_evidence).orderBy(F.desc(evidence(t)), "word").limit(params.words).select("word").collect()
     }
-    model = Model(np.array(sorted(chosen), np.int64))
+    model = Model(sorted(chosen))
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(model.words)
@@ -197,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: s
                 {
                     "good": pdf["good"],
                     "toxic": pdf["toxic"],
-                    "at": [w.tolist() for w, _ in got],
+                    "at": [w for w, _ in got],
                     "shape": [s.tolist() for _, s in got],
                 }
             )
