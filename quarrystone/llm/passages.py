@@ -226,13 +226,8 @@ def chained(matches: DataFrame, params: Params, kind: str) -> DataFrame:
         out = []
         for s in pd.unique(src):
             at = np.flatnonzero(src == s)
-            held: list[tuple[int, int]] = []
+            # All chains: one inside another's range may align what that one only bridges.
             for c in chains(x[at], y[at], params):
-                # A chain inside a better one's range tells nothing new.
-                span = int(x[at[c[0]]]), int(x[at[c[-1]]])
-                if any(a <= span[0] and span[1] <= b for a, b in held):
-                    continue
-                held.append(span)
                 out.append((own, s, x[at[c]].astype("<i4").tobytes(), y[at[c]].astype("<i4").tobytes()))
         return out
 

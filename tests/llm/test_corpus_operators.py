@@ -78,6 +78,16 @@ def test_passages(spark):
     assert passages.repeats(df.limit(0)).count() == 0
 
 
+def test_moved_paragraph(spark):
+    rng = random.Random(21)
+    first, moved, last = prose(rng, 120), prose(rng, 60), prose(rng, 100)
+    docs = [(1, " ".join([first, last, prose(rng, 150), moved])), (2, " ".join([first, moved, last]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    covered = {w for r in passages.repeats(df).collect() if r.doc_id == 2 for w in range(r.start_word, r.end_word)}
+    assert len(covered) >= 275 and covered >= set(range(125, 175))
+    assert {x.doc_id for x in passages.cut(df).filter("length(text) > 60").collect()} == {1}
+
+
 def test_quality_on_held_out_documents(spark):
     rng = random.Random(9)
     rows, labels = [], []
