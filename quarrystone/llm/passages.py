@@ -142,11 +142,74 @@ def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return (best + 1, int(same[: best + 1].sum())) if gain[best] > 0 else (0, 0)
 
 
+def edit_columns(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
+    """A best alignment of two short runs as columns: words of a, words of b, equal; equal words are as in edit_matches."""
+    most = np.zeros((len(a) + 1, len(b) + 1), int)
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            most[i, j] = most[i + 1, j + 1] + 1 if a[i] == b[j] else max(most[i + 1, j], most[i, j + 1])
+    out, i, j = [], 0, 0
+    while i < len(a) or j < len(b):
+        if i < len(a) and j < len(b) and (a[i] == b[j] or most[i + 1, j + 1] == most[i, j]):
+            step = (1, 1, int(a[i] == b[j]))
+        elif i < len(a) and (j == len(b) or most[i + 1, j] == most[i, j]):
+            step = (1, 0, 0)
+        else:
+            step = (0, 1, 0)
+        out.append(step)
+        i, j = i + step[0], j + step[1]
+    return out
+
+
+def good_runs(equal: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Ranges of columns of which at least a share `least` is equal, the longest first and then those of what is left.
+
+    Their ends are cut back to where equal columns outweigh the rest, as in extend().
+    """
+    out, left = [], [(0, len(equal))]
+    while left:
+        lo, hi = left.pop()
+        own = equal[lo:hi]
+        if not own.any():
+            continue
+        total = np.r_[0.0, np.cumsum(np.where(own, 1 - least, -least))]
+        # For each end, the first beginning from which the run is good enough.
+        start = np.searchsorted(-np.minimum.accumulate(total), -total - 1e-9)
+        end = int((np.arange(len(total)) - start).argmax())
+        first, last = int(start[end]), end
+        gain = np.r_[0, np.cumsum(np.where(own[first:last], 1, -2))]
+        last = first + int(gain.argmax())
+        first += int(gain[: last - first + 1].argmin())
+        out.append((lo + first, lo + last))
+        left += [(lo, lo + first), (lo + last, hi)]
+    return sorted(out)
+
+
+def split(a: np.ndarray, b: np.ndarray, runs: list[tuple[int, int, int]], params: Params) -> list[tuple[int, int, int, int, int]]:
+    """The good runs of a part, given as runs on diagonals (first and last position in a, first in b) in order."""
+    steps: list[np.ndarray] = []
+    x, y = runs[0][0], runs[0][2]
+    for x0, x1, y0 in runs:
+        if x0 > x or y0 > y:
+            steps.append(np.array(edit_columns(a[x:x0], b[y:y0])))
+        size = x1 - x0
+        steps.append(np.stack([np.ones(size, int), np.ones(size, int), a[x0:x1] == b[y0 : y0 + size]], 1))
+        x, y = x1, y0 + size
+    columns = np.concatenate(steps)
+    at = np.r_[[[runs[0][0], runs[0][2], 0]], columns].cumsum(0)
+    out = []
+    for i, j in good_runs(columns[:, 2] > 0, params.least_identity):
+        if at[j, 0] - at[i, 0] >= params.k:
+            out.append((int(at[i, 0]), int(at[j, 0]), int(at[i, 1]), int(at[j, 1]), int(at[j, 2] - at[i, 2])))
+    return out
+
+
 def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, params: Params) -> list[tuple[int, int, int, int, int]]:
     """Word ranges of both texts and equal words for what a chain with matches (x, y) aligns; none where its seeds don't hold.
 
     Runs of matches on one diagonal are compared word by word and cut where over break_gap words differ in a row; two
-    parts are joined across a shift of at most break_gap words by edit distance.
+    parts are joined across a shift of at most break_gap words by edit distance. A part below least_identity is split
+    into what is good in it.
     """
     k, reach, wide = params.k, 4 * params.break_gap, params.break_gap
     fits = (x + k <= len(a)) & (y + k <= len(b))
@@ -165,6 +228,7 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, params: Pa
             lo, hi = int(same[i]), int(same[j]) + 1
             parts.append([x0 + lo, x0 + hi, y0 + lo, y0 + hi, j - i + 1])
     done: list[list[int]] = []
+    runs: list[list[tuple[int, int, int]]] = []
     for part in parts:
         if done:
             last = done[-1]
@@ -177,14 +241,21 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, params: Pa
             if gap_a <= wide and gap_b <= wide:
                 last[4] += max(0, part[4]) + (edit_matches(a[last[1] : part[0]], b[last[3] : part[2]]) if gap_a and gap_b else 0)
                 last[1], last[3] = part[1], part[3]
+                runs[-1].append((part[0], part[1], part[2]))
                 continue
         done.append(part)
+        runs.append([(part[0], part[1], part[2])])
     out = []
-    for x0, x1, y0, y1, equal in done:
+    for (x0, x1, y0, y1, equal), own in zip(done, runs):
         back, more = extend(a[max(0, x0 - reach) : x0][::-1], b[max(0, y0 - reach) : y0][::-1])
         on, most = extend(a[x1 : x1 + reach], b[y1 : y1 + reach])
-        if x1 - x0 + back + on >= params.k:
-            out.append((x0 - back, x1 + on, y0 - back, y1 + on, equal + more + most))
+        if x1 - x0 + back + on < params.k:
+            continue
+        whole = (x0 - back, x1 + on, y0 - back, y1 + on, equal + more + most)
+        if whole[4] >= params.least_identity * max(whole[1] - whole[0], whole[3] - whole[2]):
+            out.append(whole)
+        else:
+            out += split(a, b, [(x0 - back, x0, y0 - back), *own, (x1, x1 + on, y1)], params)
     return out
 
 
@@ -281,7 +352,7 @@ def aligned(found: DataFrame, docs: DataFrame, params: Params, id_col: str, text
                 for c in found_:
                     x, y = np.frombuffer(c["xs"], "<i4"), np.frombuffer(c["ys"], "<i4")
                     for other in sources_:
-                        got = [g for g in align(words, other, x, y, params) if g[4] >= params.least_identity * max(g[1] - g[0], g[3] - g[2])]
+                        got = align(words, other, x, y, params)
                         if got:
                             spans = spans or [m.span() for m in WORD.finditer(text)]
                             out += [(own, mark, src, *g[:4], spans[g[0]][0], spans[g[1] - 1][1], g[4]) for g in got]

@@ -88,6 +88,31 @@ def test_moved_paragraph(spark):
     assert {x.doc_id for x in passages.cut(df).filter("length(text) > 60").collect()} == {1}
 
 
+def test_good_half_of_a_poor_join():
+    rng = np.random.default_rng(4)
+    a = rng.permutation(1000)[:400]
+    params = passages.Params()
+    for good, poor in ((50, 23), (200, 200)):
+        b = a[: good + poor + 6].copy()
+        b[good : good + poor] += 5000
+        if poor > 24:  # reworded to about 30 % equal words
+            keep = good + np.flatnonzero(np.arange(poor) % 10 < 3)
+            b[keep] -= 5000
+        at = np.array([*range(0, good - 6, 7), good + poor])
+        assert any(x0 <= 1 and good - 1 <= x1 <= good + 12 and same >= 0.75 * (x1 - x0) for x0, x1, _, _, same in passages.align(a[: len(b)], b, at, at, params))
+    # Across a shift, and with the source's words before it.
+    b = np.r_[a[300:310], a[:60], a[310:320], a[70:76]]
+    at = np.array([0, 20, 40, 54, 70])
+    assert any(x0 == 0 and x1 >= 60 and y0 == 10 for x0, x1, y0, _, _ in passages.align(a, b, at, at + np.array([10, 10, 10, 10, 10]), params))
+    for _ in range(200):
+        equal = rng.random(rng.integers(1, 60)) < rng.uniform(0.2, 0.9)
+        runs = passages.good_runs(equal, 0.75)
+        assert all(equal[i] and equal[j - 1] for i, j in runs) and {*np.flatnonzero(equal)} <= {p for i, j in runs for p in range(i, j)}
+        x, y = rng.integers(0, 5, rng.integers(1, 20)), rng.integers(0, 5, rng.integers(1, 20))
+        columns = np.array(passages.edit_columns(x, y)).sum(0)
+        assert tuple(columns) == (len(x), len(y), passages.edit_matches(x, y))
+
+
 def test_quality_on_held_out_documents(spark):
     rng = random.Random(9)
     rows, labels = [], []
