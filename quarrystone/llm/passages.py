@@ -46,11 +46,6 @@ class Params:
     min_words: int = 45
     least_identity: float = 0.75
 
-    @property
-    def least_cluster(self) -> int:
-        """Words that the seeds of a passage span at least: all but what lies outside its first and last seed."""
-        return max(self.k, self.min_words - 2 * (self.window + self.k - 1) + self.k)
-
 
 def minimisers(words: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
     """Positions and hashes of the k-mers that are least in some window of them."""
@@ -108,18 +103,6 @@ def chains(x: np.ndarray, y: np.ndarray, params: Params) -> list[np.ndarray]:
     return out
 
 
-def clusters(x: np.ndarray, params: Params) -> np.ndarray:
-    """Which of a document's seeds lie in a cluster wide enough for a passage, whatever their sources."""
-    order = np.argsort(x)
-    at = x[order]
-    cut = np.flatnonzero(np.diff(at) > params.break_gap + params.k)
-    first, last = np.r_[0, cut + 1], np.r_[cut, len(at) - 1]
-    wide = at[last] + params.k - at[first] >= params.least_cluster
-    out = np.zeros(len(x), bool)
-    out[order] = np.repeat(wide, last - first + 1)
-    return out
-
-
 def edit_matches(a: np.ndarray, b: np.ndarray) -> int:
     """Words that a best alignment of two short runs leaves equal (longest common subsequence)."""
     row = np.zeros(len(b) + 1, int)
@@ -292,8 +275,6 @@ def chained(matches: DataFrame, params: Params, kind: str) -> DataFrame:
 
     def of(own, part: pd.DataFrame) -> list[tuple]:
         x, y, src = part["pos"].to_numpy(), part["spos"].to_numpy(), part["src"].to_numpy()
-        keep = clusters(x, params)
-        x, y, src = x[keep], y[keep], src[keep]
         out = []
         for s in pd.unique(src):
             at = np.flatnonzero(src == s)

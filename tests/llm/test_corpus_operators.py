@@ -113,6 +113,24 @@ def test_good_half_of_a_poor_join():
         assert tuple(columns) == (len(x), len(y), passages.edit_matches(x, y))
 
 
+def test_fuzzy_passages(spark):
+    rng = random.Random(33)
+    docs, spans = [], {}
+    for g in range(90):
+        n, share = (60, 80, 100)[g % 3], (0.08, 0.1, 0.12, 0.15)[g % 4]
+        passage = prose(rng, n)
+        docs.append((2 * g, " ".join([prose(rng, 80), passage, prose(rng, 80)])))
+        docs.append((2 * g + 1, " ".join([prose(rng, 80), edited(rng, passage, share), prose(rng, 80)])))
+        spans[2 * g + 1] = set(range(80, 80 + n))
+    got = {i: set() for i in spans}
+    for r in passages.repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    found = sum(len(got[i] & s) >= 0.7 * len(s) for i, s in spans.items())
+    print("found", found, "of", len(spans))
+    assert found >= 0.93 * len(spans)
+    assert all(len(got[i] - s) <= 6 for i, s in spans.items())
+
+
 def test_quality_on_held_out_documents(spark):
     rng = random.Random(9)
     rows, labels = [], []
