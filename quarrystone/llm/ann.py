@@ -9,6 +9,7 @@ all to the same norm; a query's own norm doesn't change its order.
 How many cells are visited is fitted: on a sample of at most `sample` rows the number of probes is found that
 reaches `recall` there. With fewer rows neighbours lie farther off, so a sample asks for more probes than
 the whole table needs. If no number up to `max_probes` is enough, all cells are visited. Every row is indexed.
+A query that meets fewer than k rows in its cells, though there are more, is sent to all of them.
 
 Cells lie in blocks; a row goes to its cell's block, a query to each block that holds one of its cells. Cells of
 very many rows are split over blocks by the row's id. Rows of equal vectors beyond the k + 1 smallest ids can't
@@ -180,76 +181,89 @@ def search(rows: DataFrame, is_query: Column, params: Params = Params(), id_col:
     )
     split = {r["cell"]: -(-r["n"] // limit) for r in large.collect()}  # at most split_cells rows
     blocks = 4 * max(n_partitions(spark), n * params.tables // 65_536)
-    # All cells visited: one table is enough, and every query goes to every block.
-    own_tables = params.tables if probes else 1
 
     def block_of(cell: np.ndarray, salt: np.ndarray) -> np.ndarray:
         return (mix64(cell.view(np.uint64) + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(blocks)).astype(np.int32)
 
-    def place_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = matrix(pdf["vec"])
-            id_hash = mix64(pd.util.hash_array(pdf["id"].to_numpy()))
-            for t, cell in enumerate(cells(x)[:own_tables]):
-                parts = np.array([split.get(c, 1) for c in cell.tolist()], np.uint64) if split else np.ones(len(cell), np.uint64)
-                yield pd.DataFrame(
-                    {
-                        "block": block_of(cell, id_hash % parts),
-                        "role": 0,
-                        "cell": cell,
-                        "tab": t,
-                        "id": pdf["id"],
-                        "vec": [r.tobytes() for r in x],
-                        "cells": None,
-                    }
-                )
-
-    def place_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = matrix(pdf["vec"])
-            at = [tables.places(unit_query(x), t) for t in range(own_tables)] if probes else []
-            for i, (own, row) in enumerate(zip(pdf["id"], x)):
-                if probes:
-                    to = [tables.probes(at[t][i], t, probes) for t in range(own_tables)]
-                    cell = np.concatenate(to)
-                    tab = np.repeat(np.arange(own_tables), [len(c) for c in to])
-                    parts = np.array([split.get(c, 1) for c in cell.tolist()]) if split else np.ones(len(cell), int)
-                    cell, tab = np.repeat(cell, parts), np.repeat(tab, parts)
-                    salt = np.concatenate([np.arange(k) for k in parts])
-                    block = block_of(cell, salt)
-                    order = np.argsort(block, kind="stable")
-                    block, keyed = block[order], np.stack([tab[order], cell[order]], 1)
-                    firsts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-                    asked = [k.astype(np.int64).tobytes() for k in np.split(keyed, firsts[1:])]
-                    block = block[firsts]
-                else:
-                    block, asked = np.arange(blocks, dtype=np.int32), [None] * blocks
-                yield pd.DataFrame(
-                    {"block": block, "role": 1, "cell": 0, "tab": 0, "id": own, "vec": row.tobytes(), "cells": asked}
-                )
-
-    schema = f"block int, role int, cell long, tab int, id {kind}, vec binary, cells binary"
-    placed = indexed.mapInPandas(place_rows, schema)
-    asking = vectors.filter(is_query).mapInPandas(place_queries, schema)
-    met = placed.unionByName(asking).repartition(n_partitions(spark), "block").sortWithinPartitions("block", "role", "tab", "cell")
-
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, rows_, held = None, [], None
-        for pdf in batches:
-            for block, part in pdf.groupby("block", sort=False):
-                if block != now:
-                    now, rows_, held = block, [], None
-                own = part[part["role"] == 0]
-                if len(own):
-                    rows_.append(own)
-                ask = part[part["role"] == 1]
-                if len(ask) and rows_:
-                    held = held or Block(pd.concat(rows_), dim)
-                    yield held.nearest(ask, params.k)
-
-    best = met.mapInPandas(rank, found_schema).repartition(n_partitions(spark), "query_id").dropDuplicates(["query_id", "vec_id"])
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= params.k).select("query_id", "rank", "vec_id", "score")
+    def ranked(asking: DataFrame, probes: int | None) -> DataFrame:
+        """The k nearest of each row of asking among its first `probes` cells; None: among all rows."""
+        # All cells visited: one table is enough, and every query goes to every block.
+        own_tables = params.tables if probes else 1
+
+        def place_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                x = matrix(pdf["vec"])
+                id_hash = mix64(pd.util.hash_array(pdf["id"].to_numpy()))
+                for t, cell in enumerate(cells(x)[:own_tables]):
+                    parts = np.array([split.get(c, 1) for c in cell.tolist()], np.uint64) if split else np.ones(len(cell), np.uint64)
+                    yield pd.DataFrame(
+                        {
+                            "block": block_of(cell, id_hash % parts),
+                            "role": 0,
+                            "cell": cell,
+                            "tab": t,
+                            "id": pdf["id"],
+                            "vec": [r.tobytes() for r in x],
+                            "cells": None,
+                        }
+                    )
+
+        def place_queries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                x = matrix(pdf["vec"])
+                at = [tables.places(unit_query(x), t) for t in range(own_tables)] if probes else []
+                for i, (own, row) in enumerate(zip(pdf["id"], x)):
+                    if probes:
+                        to = [tables.probes(at[t][i], t, probes) for t in range(own_tables)]
+                        cell = np.concatenate(to)
+                        tab = np.repeat(np.arange(own_tables), [len(c) for c in to])
+                        parts = np.array([split.get(c, 1) for c in cell.tolist()]) if split else np.ones(len(cell), int)
+                        cell, tab = np.repeat(cell, parts), np.repeat(tab, parts)
+                        salt = np.concatenate([np.arange(k) for k in parts])
+                        block = block_of(cell, salt)
+                        order = np.argsort(block, kind="stable")
+                        block, keyed = block[order], np.stack([tab[order], cell[order]], 1)
+                        firsts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+                        asked = [k.astype(np.int64).tobytes() for k in np.split(keyed, firsts[1:])]
+                        block = block[firsts]
+                    else:
+                        block, asked = np.arange(blocks, dtype=np.int32), [None] * blocks
+                    yield pd.DataFrame(
+                        {"block": block, "role": 1, "cell": 0, "tab": 0, "id": own, "vec": row.tobytes(), "cells": asked}
+                    )
+
+        schema = f"block int, role int, cell long, tab int, id {kind}, vec binary, cells binary"
+        placed = indexed.mapInPandas(place_rows, schema).unionByName(asking.mapInPandas(place_queries, schema))
+        met = placed.repartition(n_partitions(spark), "block").sortWithinPartitions("block", "role", "tab", "cell")
+
+        def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, rows_, held = None, [], None
+            for pdf in batches:
+                for block, part in pdf.groupby("block", sort=False):
+                    if block != now:
+                        now, rows_, held = block, [], None
+                    own = part[part["role"] == 0]
+                    if len(own):
+                        rows_.append(own)
+                    ask = part[part["role"] == 1]
+                    if len(ask) and rows_:
+                        held = held or Block(pd.concat(rows_), dim)
+                        yield held.nearest(ask, params.k)
+
+        best = met.mapInPandas(rank, found_schema).repartition(n_partitions(spark), "query_id").dropDuplicates(["query_id", "vec_id"])
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= params.k).select("query_id", "rank", "vec_id", "score")
+
+    asking = vectors.filter(is_query)
+    if not probes:
+        return ranked(asking, None)
+    first = materialise(ranked(asking, probes), "nearest")
+    # Queries that met too few rows in their cells look at all rows.
+    full = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(params.k, n - 1)).select(F.col("query_id").alias("id"))
+    short = materialise(asking.join(full, "id", "left_anti"), "short")
+    if short.isEmpty():
+        return first
+    return first.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").unionByName(ranked(short, None))
 
 
 class Block:

@@ -183,6 +183,19 @@ def test_search_recall_and_ties(spark):
     assert len(few) == 3
 
 
+def test_search_of_outliers(spark):
+    rng = np.random.default_rng(12)
+    x = np.vstack([1 + 0.02 * rng.standard_normal((900, 16)), rng.standard_normal((8, 16))])
+    x *= 4 / np.sqrt((x * x).sum(1))[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    params = ann.Params(k=20, width=0.5)
+    got = ann.search(df, (F.col("id") >= 900) | (F.col("id") % 100 == 0), params).collect()
+    for q in [*range(0, 900, 100), *range(900, 908)]:
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.rank for r in own] == list(range(1, 21)) and q not in {r.vec_id for r in own}
+        assert all(abs(r.score - x[r.vec_id] @ x[q]) < 1e-9 for r in own)
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
