@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,3 +31,58 @@ def related(vectors: DataFrame, queries: DataFrame, k: int = 3, key: str = "rel_
     scored = met.select("query", key, cosine(F.col("_q"), F.col(vector)).alias("score"))
     w = Window.partitionBy("query").orderBy(F.desc("score"), key)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+#: Rows and queries that one task scores at a time.
+ROW_BLOCK, QUERY_BLOCK = 4096, 512
+
+
+def all_pairs(vectors: DataFrame, queries: DataFrame, k: int | None = None, key: str = "rel_path", vector: str = "vector") -> DataFrame:
+    """query, key, score of every query row against all other rows, as cosine() has it; with k, the k nearest and their rank.
+
+    Each block of rows meets each block of queries once, so a task's memory doesn't grow with the tables.
+    """
+    n_rows, n_queries = (-(-d.count() // size) or 1 for d, size in ((vectors, ROW_BLOCK), (queries, QUERY_BLOCK)))
+    # A null vector, or one with a null, is like an empty one.
+    plain = F.when(~F.exists(vector, lambda x: x.isNull()), F.col(vector).cast("array<double>"))
+    vec = F.coalesce(plain, F.array().cast("array<double>")).alias("vec")
+    block = lambda n: F.pmod(F.xxhash64(F.col(key)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = vectors.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), vec, block(n_rows).alias("rb"), every(n_queries).alias("qb"))
+    asked = queries.filter(F.col(key).isNotNull()).select(F.col(key).alias("id"), vec, every(n_rows).alias("rb"), block(n_queries).alias("qb"))
+
+    def scored(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, own = left["id"].to_numpy(), right["id"].to_numpy()
+        lengths, wanted = left["vec"].str.len().to_numpy(int), right["vec"].str.len().to_numpy(int)
+        width = max([1, *lengths, *wanted])
+
+        def matrix(col: pd.Series) -> np.ndarray:
+            out = np.zeros((len(col), width))
+            for i, v in enumerate(col):
+                out[i, : len(v)] = v
+            return out
+
+        x, q = matrix(left["vec"]), matrix(right["vec"])
+        # Summed in one fixed order, so equal vectors score alike.
+        norm = np.sqrt(np.einsum("id,id->i", q, q))[:, None] * np.sqrt(np.einsum("id,id->i", x, x))[None, :]
+        fits = (wanted[:, None] == lengths[None, :]) & ~(norm == 0)
+        score = np.divide(np.einsum("id,jd->ij", q, x), norm, out=np.zeros(norm.shape), where=fits)
+        others = own[:, None] != ids[None, :]
+        if k is None:
+            i, j = np.nonzero(others)
+        else:
+            order = np.where(others, np.where(np.isnan(score), np.inf, score), -np.inf)
+            picked = []
+            for a, row in enumerate(order):
+                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                at = np.flatnonzero((row >= least) & others[a])
+                picked.append(at[np.lexsort((ids[at], -row[at]))[:k]])
+            i, j = np.repeat(np.arange(len(own)), [len(p) for p in picked]), np.concatenate([*picked, np.zeros(0, int)]).astype(int)
+        return pd.DataFrame({"query": own[i], key: ids[j], "score": score[i, j]})
+
+    kind = vectors.schema[key].dataType.simpleString()
+    pairs = rows.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(scored, f"query {kind}, `{key}` {kind}, score double")
+    if k is None:
+        return pairs
+    w = Window.partitionBy("query").orderBy(F.desc("score"), key)
+    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

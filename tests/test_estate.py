@@ -1,6 +1,8 @@
 """Extraction, rules, graph and index on small inline sources."""
 
 import json
+import math
+import os
 import random
 import re
 
@@ -182,6 +184,42 @@ def test_gateway_and_retrieval(spark):
     assert "abc" not in text.replace("abcdefgh", "") and "zz" not in text
 
 
+def test_all_pairs_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "ROW_BLOCK", 40)
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 2)
+    rng = random.Random(6)
+    rows = [(i, [float(rng.randint(-3, 3)) for _ in range(3)]) for i in range(301)] + [(301, None), (302, []), (303, [1.0]), (304, [1.0, None, 2.0]), (350, [0.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+
+    def cosine(a, b):
+        norm = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b)) if a and b and None not in a + b and len(a) == len(b) else 0
+        return sum(x * y for x, y in zip(a, b)) / norm if norm else 0.0
+
+    asked = df.filter("vec_id % 50 = 0")
+    expected = {(q, i): cosine(a, b) for q, a in rows if q % 50 == 0 for i, b in rows if i != q}
+    got = {(r.query, r.vec_id): r.score for r in retrieval.all_pairs(df, asked, None, "vec_id", "embedding").collect()}
+    assert set(got) == set(expected) and all(abs(got[p] - s) < 1e-9 for p, s in expected.items())
+    near = retrieval.all_pairs(df, asked, 3, "vec_id", "embedding").collect()
+    for q in {q for q, _ in expected}:
+        own = sorted((r for r in near if r.query == q), key=lambda r: r.rank)
+        best = sorted((s for (a, _), s in expected.items() if a == q), reverse=True)[:3]
+        assert [r.rank for r in own] == [1, 2, 3] and all(abs(r.score - s) < 1e-9 for r, s in zip(own, best))
+        # Of equal scores the least ids, also where they lie in different blocks.
+        ties = sorted((-s, i) for (a, i), s in got.items() if a == q)[:3]
+        assert [(-r.score, r.vec_id) for r in own] == ties
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="the driver's tables are absent")
+def test_all_pairs_take_every_50th_row(spark):
+    from quarrystone import catalog
+
+    d = "/root/testdata/sf0.001"
+    ids = {r.vec_id for r in catalog.vectors(spark, d).collect()}
+    got = catalog.QUERIES["search_related_all"](spark, d).collect()
+    assert {r.query for r in got} == {i for i in ids if i % 50 == 0} and len(got) == 3 * len({r.query for r in got})
+    assert catalog.QUERIES["cosine_similarity_all"](spark, d).count() == sum(i % 50 == 0 for i in ids) * (len(ids) - 1)
+
+
 def test_custom_rules(spark):
     files = spark.createDataFrame([("a", "cobol", "MOVE 'host.acme' TO X"), ("b", "jcl", "//* host.acme")], "rel_path string, language string, text string")
     got = rules.custom_findings(files, [{"id": "R1", "pattern": r"HOST\.ACME"}]).collect()
