@@ -454,6 +454,11 @@ from_estate("emit_json_rows", lambda e: emit.json_rows(e.findings),
     """SELECT fingerprint, '{"rule_id":"' || rule_id || '","severity":"' || severity || '","rel_path":"' || rel_path || '","line":' || line || '}' AS row FROM fp""")
 from_estate("emit_sarif_results", lambda e: emit.sarif_results(e.findings).drop("message"),
     "SELECT fingerprint, rule_id AS ruleId, CASE severity WHEN 'high' THEN 'error' WHEN 'medium' THEN 'warning' ELSE 'note' END AS level, rel_path, line AS startLine FROM fp")
+from_estate("emit_graphml_edges", lambda e: emit.graphml_edges(e.graph.edges),
+    """SELECT 'e' || i AS id, '<edge id="e' || i || '" source="' || src || '" target="' || dst || '"><data key="rel">' || type || '</data></edge>' AS row
+    FROM (SELECT *, row_number() OVER (ORDER BY src, dst, type, rel_path, line) - 1 AS i FROM edges)""")
+query("emit_json_findings")(lambda s, d: emit.json_findings(Estate.rendered(s, d).findings))
+query("emit_sarif_rows")(lambda s, d: emit.sarif_rows(Estate.rendered(s, d).findings))
 from_estate("emit_sarif_rules", lambda e: emit.sarif_rules(e.findings).select("rule_id", "name", "cwe"),
     "SELECT rule_id, title AS name, cwe FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY rel_path, line) AS r FROM fp) WHERE r = 1")
 from_estate("doc_dependency_lines", lambda e: emit.dependency_lines(e.cobol.calls, e.cobol.copies),

@@ -7,6 +7,8 @@ import html
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+
 SHAPES = {"program": "box", "copybook": "note", "job": "component", "dataset": "cylinder", "table": "cylinder", "external": "box"}
 LEVELS = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
 
@@ -51,6 +53,69 @@ def graphml_lines(nodes: DataFrame) -> DataFrame:
     return nodes.select("key", row.alias("row"))
 
 
+def graphml_edges(edges: DataFrame) -> DataFrame:
+    """id and row of every edge; ids e0, e1, ... follow the order of source, target, type, path and line."""
+    order = ["src", "dst", "type", "rel_path", "line"]
+    placed = materialise(edges.select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    # The number of a part's first row; one row for each part of the sort.
+    part = F.shiftright("_at", 33).alias("_part")
+    counts = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = placed.withColumn("_part", part).join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part")
+    name = F.concat(F.lit("e"), (F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).cast("string"))
+    row = F.concat(
+        F.lit('<edge id="'), name, F.lit('" source="'), escaped(F.col("src")), F.lit('" target="'), escaped(F.col("dst")), F.lit('"><data key="rel">'), escaped(F.col("type")), F.lit("</data></edge>")
+    )
+    return numbered.select(name.alias("id"), row.alias("row"))
+
+
+def whole(found: DataFrame) -> DataFrame:
+    """found with the marks that findings have after suppression and mapping: suppressed and controls."""
+    for name, value in (("suppressed", F.lit(False)), ("controls", F.array().cast("array<string>"))):
+        if name not in found.columns:
+            found = found.withColumn(name, value)
+    return found
+
+
+#: The fields of a finding in reports, in order.
+FIELDS = "rule_id title severity rel_path line evidence rationale remediation confidence source requires_human_review cwe owasp suppressed controls fingerprint".split()
+KEEP = {"ignoreNullFields": "false"}
+
+
+def json_findings(found: DataFrame) -> DataFrame:
+    """Every finding with all its fields as JSON."""
+    return whole(found).select("fingerprint", F.to_json(F.struct(*FIELDS), KEEP).alias("row"))
+
+
+def json_summary(found: DataFrame) -> DataFrame:
+    """One row: the report's summary as JSON."""
+    counts = whole(found).groupBy("severity", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("requires_human_review").alias("review"), F.count_if("suppressed").alias("off")
+    )
+    by = lambda c: counts.groupBy(c).agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(f"by_{c}"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    one = counts.agg(total("n").alias("total"), total("review").alias("requires_human_review"), total("off").alias("suppressed"))
+    one = one.crossJoin(by("severity")).crossJoin(by("source"))  # one row each
+    return one.select(F.to_json(F.struct("total", "by_severity", "by_source", "requires_human_review", "suppressed")).alias("row"))
+
+
+def sarif_rows(found: DataFrame) -> DataFrame:
+    """Every finding as a SARIF result in JSON, with its properties; suppressed ones carry a suppression."""
+    levels = F.create_map(*[x for k, v in LEVELS.items() for x in (F.lit(k), F.lit(v))])
+    uri = F.struct(F.struct(F.col("rel_path").alias("uri")).alias("artifactLocation"), F.struct(F.greatest("line", F.lit(1)).alias("startLine")).alias("region"))
+    parts = [
+        F.col("rule_id").alias("ruleId"),
+        F.coalesce(F.try_element_at(levels, F.col("severity")), F.lit("warning")).alias("level"),
+        F.struct(F.concat("title", F.lit(": "), "rationale").alias("text")).alias("message"),
+        F.struct(F.col("fingerprint").alias("legacylens/v1")).alias("partialFingerprints"),
+        F.array(F.struct(uri.alias("physicalLocation"))).alias("locations"),
+        F.struct("severity", "cwe", "owasp", "confidence", "source", F.col("requires_human_review").alias("requiresHumanReview"), "evidence", "remediation", "controls").alias("properties"),
+    ]
+    marked = [*parts, F.array(F.struct(F.lit("external").alias("kind"))).alias("suppressions")]
+    row = F.when(F.col("suppressed"), F.to_json(F.struct(*marked), KEEP)).otherwise(F.to_json(F.struct(*parts), KEEP))
+    return whole(found).select("fingerprint", row.alias("row"))
+
+
 def json_rows(found: DataFrame) -> DataFrame:
     return found.select("fingerprint", F.to_json(F.struct("rule_id", "severity", "rel_path", "line")).alias("row"))
 

@@ -220,6 +220,26 @@ def test_all_pairs_take_every_50th_row(spark):
     assert catalog.QUERIES["cosine_similarity_all"](spark, d).count() == sum(i % 50 == 0 for i in ids) * (len(ids) - 1)
 
 
+def test_whole_reports(spark, estate):
+    edges = estate.graph.edges.collect()
+    got = {r.id: r.row for r in emit.graphml_edges(estate.graph.edges.repartition(3)).collect()}
+    order = sorted(edges, key=lambda e: (e.src, e.dst, e.type, e.rel_path, e.line))
+    assert edges and got == {f"e{i}": f'<edge id="e{i}" source="{e.src}" target="{e.dst}"><data key="rel">{e.type}</data></edge>' for i, e in enumerate(order)}
+    found = findings.with_controls(estate.findings, findings.control_table(spark)).withColumn("suppressed", F.col("rule_id") == "LL-SEC-008")
+    rows = {r.fingerprint: r.asDict() for r in found.collect()}
+    for r in emit.json_findings(found).collect():
+        assert json.loads(r.row) == {c: rows[r.fingerprint][c] for c in emit.FIELDS}
+    sarif = {r.fingerprint: json.loads(r.row) for r in emit.sarif_rows(found).collect()}
+    assert set(sarif) == set(rows) and any(r["suppressed"] for r in rows.values())
+    for f, r in sarif.items():
+        own = rows[f]
+        assert r.get("suppressions") == ([{"kind": "external"}] if own["suppressed"] else None)
+        assert r["properties"] == {k: own["requires_human_review" if k == "requiresHumanReview" else k] for k in r["properties"]} and len(r["properties"]) == 9
+        assert r["partialFingerprints"] == {"legacylens/v1": f} and r["message"]["text"] == f"{own['title']}: {own['rationale']}"
+    counts = json.loads(emit.json_summary(found).first().row)
+    assert counts["total"] == found.count() == sum(counts["by_severity"].values()) and counts["suppressed"] == found.filter("suppressed").count()
+
+
 def test_custom_rules(spark):
     files = spark.createDataFrame([("a", "cobol", "MOVE 'host.acme' TO X"), ("b", "jcl", "//* host.acme")], "rel_path string, language string, text string")
     got = rules.custom_findings(files, [{"id": "R1", "pattern": r"HOST\.ACME"}]).collect()
