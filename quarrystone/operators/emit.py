@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import html
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,13 +129,24 @@ def sarif_rules(found: DataFrame) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("rule_id", F.col("title").alias("name"), "cwe", "owasp")
 
 
-def html_report(found: DataFrame, limit: int = 100_000) -> str:
-    """A page of the findings in order of severity, path and line; the caller says how many rows a page may have."""
+def html_rows(found: DataFrame) -> DataFrame:
+    """Table rows of all findings, in order of severity, path and line; may be written as text."""
     from .findings import rank
 
-    rows = found.orderBy(F.desc(rank()), "rel_path", "line").limit(limit).select("severity", "rule_id", "title", "rel_path", "line").collect()
-    cells = "".join("<tr>" + "".join(f"<td>{html.escape(str(x))}</td>" for x in r) + "</tr>" for r in rows)
-    return f"<!doctype html><title>Findings</title><h1>{len(rows)} findings</h1><table>{cells}</table>"
+    cell = lambda c: F.concat(F.lit("<td>"), F.replace(escaped(F.coalesce(F.col(c).cast("string"), F.lit("None"))), F.lit("'"), F.lit("&#x27;")), F.lit("</td>"))
+    row = F.concat(F.lit("<tr>"), *[cell(c) for c in ("severity", "rule_id", "title", "rel_path", "line")], F.lit("</tr>"))
+    return found.orderBy(F.desc(rank()), "rel_path", "line").select(row.alias("row"))
+
+
+def html_report(found: DataFrame, limit: int = 100_000) -> str:
+    """A page of the findings in order of severity, path and line; the caller says how many rows a page may have.
+
+    The page counts all findings and says how many it leaves out; html_rows() has them all.
+    """
+    total = found.count()
+    cells = "".join(r.row for r in html_rows(found).limit(limit).collect())
+    rest = f"<p>{total - limit} further findings are not shown</p>" if total > limit else ""
+    return f"<!doctype html><title>Findings</title><h1>{total} findings</h1><table>{cells}</table>{rest}"
 
 
 def doc_name(name: Column) -> Column:

@@ -240,6 +240,15 @@ def test_whole_reports(spark, estate):
     assert counts["total"] == found.count() == sum(counts["by_severity"].values()) and counts["suppressed"] == found.filter("suppressed").count()
 
 
+def test_html_counts_all_findings(spark):
+    rows = [(s, "R", f"t <{i}> 'x'", "p", i) for i, s in enumerate(["low", "high", "low"])]
+    found = spark.createDataFrame(rows, "severity string, rule_id string, title string, rel_path string, line int")
+    page = emit.html_report(found, 2)
+    assert "<h1>3 findings</h1>" in page and page.count("<tr>") == 2 and "<p>1 further findings are not shown</p>" in page
+    assert "t &lt;1&gt; &#x27;x&#x27;" in page and "not shown" not in emit.html_report(found)
+    assert [r.row.count("<td>") for r in emit.html_rows(found).collect()] == [5, 5, 5]
+
+
 def test_custom_rules(spark):
     files = spark.createDataFrame([("a", "cobol", "MOVE 'host.acme' TO X"), ("b", "jcl", "//* host.acme")], "rel_path string, language string, text string")
     got = rules.custom_findings(files, [{"id": "R1", "pattern": r"HOST\.ACME"}]).collect()
