@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..sources.storage import discard, materialise, reclaim, shared_dir
 
-#: Rows in an Arrow batch on paths that carry whole texts; some texts hold over 100 KB.
-TEXT_BATCH_ROWS = 512
+__all__ = ["WordHashes", "discard", "materialise", "mix64", "n_partitions", "reclaim", "shared_dir", "shingles", "small_batches"]
 
-#: White space between words: space and U+0009 to U+000D.
-WORD_SPACE = " \t\n\v\f\r"
+#: Bytes in an Arrow batch on its way to a worker; a longer text is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 #: A-Z to a-z, and every other word space to a space, on UTF-8 bytes.
 LOWER_BYTES = bytes(
@@ -25,40 +22,15 @@ LOWER_BYTES = bytes(
 WORD_CACHE = 400_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or a new one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="quarrystone-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    """Remove a written table when the driver ends, if its session still answers."""
-    jsc = spark.sparkContext._jsc
-    if jsc is None:
-        return
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
-
-
-def small_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Bound the Arrow batches of this session, so that a batch of very long texts fits a worker."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))
-    if now <= 0 or now > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bound the bytes of this session's Arrow batches, so that very long texts fit a worker.
+
+    Plans read the setting when they run, which is after the operator has returned, so it stays; one that is
+    lower already is left alone.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key).removesuffix("b")) > most:
+        spark.conf.set(key, str(most))
 
 
 def n_partitions(spark: SparkSession) -> int:
