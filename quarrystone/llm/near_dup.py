@@ -46,6 +46,8 @@ from .common import WordHashes, discard, materialise, mix64, n_partitions, recla
 
 #: Members of a centre that one task confirms at a time.
 GROUP = 512
+#: Rows (ids and a salt) that are broadcast to fetch texts; with more, texts are shuffled.
+BROADCAST_ROWS = 500_000
 #: A candidate is clear where the difference that its sketches point to is at most this share of what is allowed.
 CLEAR = 0.9
 
@@ -168,9 +170,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, params: Params, id_col: str = "do
     members = salted.select(F.col("b").alias("id"), F.col("a").alias("centre"), "salt", F.lit(1).alias("role"))
     centres = salted.select("a", "salt").distinct().select(F.col("a").alias("id"), F.col("a").alias("centre"), "salt", F.lit(0).alias("role"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    asked = members.unionByName(centres)
     met = (
-        members.unionByName(centres)
-        .join(texts, "id")
+        (texts.join(F.broadcast(asked), "id") if 2 * pairs.count() <= BROADCAST_ROWS else texts.join(asked, "id"))
         .repartition(n_partitions(spark), "centre", "salt")
         .sortWithinPartitions("centre", "salt", "role")
     )
@@ -230,20 +232,15 @@ def postings(classes: DataFrame, params: Params) -> DataFrame:
     return classes.select("rep", F.posexplode(F.slice("coords", 1, params.prefix)).alias("at", "value"))
 
 
-def link_classes(docs: DataFrame, params: Params, feats: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Classes (f1, f2, rep) and the components (id, component) of the linked ones."""
+def link_classes(docs: DataFrame, params: Params, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The components (id, component) of the linked classes."""
     spark = docs.sparkSession
-    classes = (
-        feats.filter(F.col("f1").isNotNull() & F.col("id").isNotNull())
-        .groupBy("f1", "f2")
-        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("coords").alias("coords"), F.first("sketch").alias("sketch"))
-    )
-    classes = materialise(classes, "classes")
     posted = postings(classes, params)
     key = ["at", "value"]
     # A class that meets most others makes the best centre: an original meets its edited copies more than they each other.
     sizes = posted.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low"), F.max("rep").alias("high"))
-    shared = materialise(posted.join(sizes.filter("low != high").select(*key, "size"), key), "shared")
+    shared = materialise(posted.join(sizes.filter("low != high").select(*key, "size").hint("merge"), key), "shared")
+    reclaim(spark)
     meets = shared.groupBy("rep").agg(F.sum("size").alias("meets"))
     centres = shared.join(meets, "rep").groupBy(*key).agg(F.max(F.struct("meets", "rep")).alias("top")).select(*key, F.col("top.rep").alias("centre"))
     met = shared.join(centres, key).filter(F.col("rep") != F.col("centre"))
@@ -272,10 +269,10 @@ def link_classes(docs: DataFrame, params: Params, feats: DataFrame, id_col: str
         discard(more)
         if whole:
             break
-        tested, burst = tested.unionByName(fresh.select("a", "b")), 8 * burst
-    discard(shared, *links)
-    reclaim(spark)
-    return classes.select("f1", "f2", "rep"), found
+        tested, burst = materialise(tested.unionByName(fresh.select("a", "b")), "tested"), 8 * burst
+        discard(fresh)
+    discard(shared, pairs, *links)
+    return found
 
 
 def remaining(shared: DataFrame, classes: DataFrame, found: DataFrame, params: Params, burst: int, clear: float) -> tuple[DataFrame, bool]:
@@ -445,12 +442,23 @@ def candidates(own: pd.DataFrame, at: int, params: Params, burst: int, clear: fl
 def near_duplicates(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id, n_shingles, component_id (the smallest id reachable) and kept."""
     feats = materialise(features(docs, params, id_col, text_col), "features")
-    classes, found = link_classes(docs, params, feats, id_col, text_col)
+    classes = (
+        feats.filter(F.col("f1").isNotNull() & F.col("id").isNotNull())
+        .groupBy("f1", "f2")
+        .agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("coords").alias("coords"), F.first("sketch").alias("sketch"))
+    )
+    classes = materialise(classes, "classes")
+    rows = materialise(feats.select("id", "n", "f1", "f2"), "marks")
+    discard(feats)
+    reclaim(docs.sparkSession)
+    found = link_classes(docs, params, classes, id_col, text_col)
     named = classes.join(found, classes["rep"] == found["id"], "left").select(
         F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.coalesce("component", "rep").alias("part")
     )
+    named = materialise(named, "parts")
+    discard(classes, found)
+    reclaim(docs.sparkSession)
     own = F.when(F.col("id").isNotNull(), F.coalesce("part", "id"))
-    rows = feats.select("id", "n", "f1", "f2")
     return (
         rows.join(named, (rows["f1"] == named["g1"]) & (rows["f2"] == named["g2"]), "left")
         .withColumn("component_id", own)
