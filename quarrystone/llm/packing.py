@@ -9,7 +9,7 @@ leaves at most one short window for each such group of partitions.
 
 Documents are tokenised by white-space chunks: chunks go through a bounded cache. A missing chunk of Latin signs is
 cut by the tokenizer's own pattern into pieces, which have a cache too and are merged by the tokenizer's model; any
-other chunk is encoded by the tokenizer as a whole. Its pattern never matches across a blank or a line feed, and its normaliser works on
+other chunk, also one with the text of a special token, is encoded by the tokenizer as a whole. Its pattern never matches across a blank or a line feed, and its normaliser works on
 signs that don't reach over them, so the ids are those of the whole text.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed each; a text of any length is
@@ -60,7 +60,10 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.encoder = Tokenizer.from_file(path)
-        self.encoder.encode_special_tokens = True
+        #: Texts that the tokenizer takes as tokens wherever they stand; none may hold what chunks are cut at.
+        self.added = [t.content.lower() for t in self.encoder.get_added_tokens_decoder().values()]
+        if any(" " in t or "\n" in t for t in self.added):
+            raise ValueError("a token of several chunks")
         self.end = np.array([end_id], "<u4").tobytes()
         self.limit, self.known, self.pieces = limit, {}, {}
 
@@ -74,7 +77,7 @@ class ChunkTokenizer:
         for c in chunks:
             if c in known:
                 continue
-            if not PLAIN.fullmatch(c):
+            if not PLAIN.fullmatch(c) or any(t in c.lower() for t in self.added):
                 other.append(c)
                 continue
             ids = []
