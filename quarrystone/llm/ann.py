@@ -16,7 +16,7 @@ very many rows are split over blocks by the row's id. Rows of equal vectors beyo
 be among k results and aren't indexed; they still are queries.
 
 Defined cases: null, empty or zero vectors, those with null or non-finite components, those of another length
-than most have, and rows with a null id take no part; of several rows with one id one stands for all; ties
+than most have, and rows with a null id take no part; of several rows with one id the least vector stands for all; ties
 go to the smaller id; with fewer candidates than k all are returned; an empty table gives an empty result; other
 columns are not looked at.
 """
@@ -143,7 +143,7 @@ def usable(rows: DataFrame, id_col: str, vec_col: str) -> tuple[DataFrame, int]:
     dim = lengths["d"] if lengths else 0
     # -0.0 and 0.0 are equal components.
     plain = F.transform("vec", lambda x: x + F.lit(0.0))
-    return materialise(fine.filter(F.size("vec") == dim).select("id", plain.alias("vec")).dropDuplicates(["id"]), "vectors"), dim
+    return materialise(fine.filter(F.size("vec") == dim).select("id", plain.alias("vec")).groupBy("id").agg(F.min("vec").alias("vec")), "vectors"), dim
 
 
 def search(rows: DataFrame, is_query: Column, params: Params = Params(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
