@@ -48,7 +48,7 @@ from .common import WordHashes, discard, materialise, mix64, n_partitions, recla
 GROUP = 512
 #: Rows (ids and a salt) that are broadcast to fetch texts; with more, texts are shuffled.
 BROADCAST_ROWS = 500_000
-#: A candidate is clear where the difference that its sketches point to is at most this share of what is allowed.
+#: A candidate is clear where the difference that its sketches point to is below this share of what is allowed.
 CLEAR = 0.9
 
 
@@ -412,7 +412,7 @@ def candidates(own: pd.DataFrame, at: int, params: Params, burst: int, clear: fl
         return NONE
     i, j, share = np.concatenate(left), np.concatenate(right), np.concatenate(far)
     ranked = np.argsort(share, kind="stable")
-    sure = ranked[share[ranked] <= clear]
+    sure = ranked[share[ranked] < clear]
     up: dict = {}
 
     def top(x):
