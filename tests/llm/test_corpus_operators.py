@@ -1,8 +1,10 @@
 """Quality, near-duplicates, passages, nearest neighbours and the pipeline against brute force."""
 
 import random
+import re
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quarrystone.llm import ann, near_dup, passages, quality
@@ -55,10 +57,75 @@ def test_near_duplicates_against_all_pairs(spark):
             assert r.component_id == r.doc_id and r.kept
         else:
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), expected[r.doc_id], expected[r.doc_id] == r.doc_id)
+    # Small tiles and bursts change the way, not the result.
+    tiny = near_dup.near_duplicates(df, near_dup.Params(shingle=3, percent=85, tile=3, burst=1)).collect()
+    assert sorted(map(str, tiny)) == sorted(map(str, got))
     kept = near_dup.keep_one(df, params)
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, c in expected.items() if i == c} | {None, 2000}
 
 
+def test_a_tile_against_all_its_pairs():
+    """Candidates of a list of one hot group: what the forest and the bursts leave out is connected."""
+    rng = np.random.default_rng(2)
+    params = near_dup.Params(shingle=3, percent=85)
+    sign = near_dup.Signatures(params)
+    base = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    sets = []
+    for i in range(90):
+        own = base.copy()
+        at = rng.choice(300, rng.integers(0, 45), replace=False)
+        own[at] = rng.integers(0, 2**63, len(at), dtype=np.uint64)
+        sets.append(np.unique(own))
+    coords = [sign(s) for s in sets]
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    links = {(a, b) for a in range(90) for b in range(a + 1, 90) if 100 * (n := both(a, b)) >= 85 * (len(sets[a]) + len(sets[b]) - n)}
+    assert len(links) > 200
+    found = set()
+    for c in range(params.prefix):
+        for value in {int(x[c]) for x in coords}:
+            own = [i for i in range(90) if coords[i][c] == value]
+            if len(own) > 1:
+                rows = {"rep": own, "part": own, "n": [len(sets[i]) for i in own], "side": 3, "coords": [coords[i] for i in own]}
+                frame = pd.DataFrame(rows | {"sketch": [near_dup.sketch(sets[i]).tobytes() for i in own]})
+                got = near_dup.candidates(frame, c, params, 10**6, 0.0)
+                new = set(zip(got["a"], got["b"]))
+                assert not new & found  # a pair comes from the first coordinate that it shares
+                found |= new
+    assert links <= found and len(found) < 1.5 * len(links)
+
+
+def test_no_link_is_lost_on_the_small_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    for k, percent in ((3, 85), (5, 80)):
+        words = {r.doc_id: re.sub(r"[\x20\x09-\x0D]+", " ", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")).split(" ") for r in rows}
+        words = {i: [x for x in w if x] for i, w in words.items()}
+        sets = {i: frozenset(tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))) if w else frozenset() for i, w in words.items()}
+        expected = components(sets, lambda a, b: bool(a and b) and 100 * len(a & b) >= percent * len(a | b))
+        got = near_dup.near_duplicates(docs, near_dup.Params(shingle=k, percent=percent)).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), expected[i]) for i, s in sets.items()}
+
+
+def test_exact_passages_of_the_small_tables(spark):
+    """Words in a run of 50 that an earlier document has too, by brute force, against what is found."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    first, repeated, n_words = {}, {}, 0
+    for r in docs.orderBy("doc_id").collect():
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) if w]
+        runs = [tuple(words[i : i + 50]) for i in range(len(words) - 49)]
+        repeated[r.doc_id] = {i + j for i, run in enumerate(runs) if first.get(run, r.doc_id) != r.doc_id for j in range(50)}
+        for run in runs:
+            first.setdefault(run, r.doc_id)
+        n_words += len(words)
+    found = {i: set() for i in repeated}
+    for r in passages.repeats(docs).collect():
+        found[r.doc_id] |= set(range(r.start_word, r.end_word))
+    total = sum(map(len, repeated.values()))
+    met = sum(len(found[i] & own) for i, own in repeated.items())
+    print("repeated words", total, "found", met, "marked", sum(map(len, found.values())), "of", n_words)
+    assert total > 500 and met >= 0.97 * total
+
+
 def test_passages(spark):
     rng = random.Random(8)
     shared = [prose(rng, n) for n in (60, 80, 52)]
@@ -152,6 +219,34 @@ def test_quality_on_held_out_documents(spark):
     assert right >= 0.97 * 300
     kept = quality.keep_good(docs, model, F.col("source"), F.col("lang"))
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect() if r.doc_id is not None} == {i for i, r in got.items() if r.keep and i is not None}
+    # The posteriors once more, from the scores of the documents alone.
+    every = quality.judge(docs, model, F.col("source"), F.col("lang")).collect()
+    for target, value, name in (("good", "doc_good", "p_good"), ("toxic", "doc_toxic", "p_toxic")):
+        p = np.array([r[value] for r in every])
+        host, path = [r.host for r in every], [(r.host, r.path) for r in every]
+        mean = min(max(p.mean(), 1e-6), 1 - 1e-6)
+        sums = lambda keys: {k: (sum(q == k for q in keys), sum(x for q, x in zip(keys, p) if q == k)) for k in set(keys)}
+        hosts, paths = sums(host), sums(path)
+        noise = mean * (1 - mean)
+
+        def strength(groups, parent):
+            s = sum(n * (t / n - parent(k)) ** 2 for k, (n, t) in groups.items())
+            return float(np.clip(noise / max(max(0.0, s - len(groups) * noise) / len(p), 1e-12) - 1, 1.0, 1e6))
+
+        a, b = strength(hosts, lambda k: mean), strength(paths, lambda k: hosts[k[0]][1] / hosts[k[0]][0])
+        for r, own, h, q in zip(every, p, host, path):
+            up = (hosts[h][1] - own + a * mean) / (hosts[h][0] - 1 + a)
+            site = (paths[q][1] - own + b * up) / (paths[q][0] - 1 + b)
+            odds = [x / (1 - x) for x in (min(max(y, 1e-6), 1 - 1e-6) for y in (own, site, mean))]
+            joint = odds[0] * odds[1] / odds[2]
+            assert abs(r[name] - (joint / (1 + joint) if own > 0 else 0.0)) < 1e-6
+    # Scores of a batch are those of one text at a time.
+    reader = quality.BatchReader(model.words, limit=50)
+    doc, own, shapes = reader([r[1] for r in rows] + [None, ""])
+    one = quality.Reader(model.words)
+    for i, r in enumerate(rows):
+        words, shape = one(r[1])
+        assert set(words) == set(own[doc == i]) and np.allclose(shape, shapes[i])
     empty = quality.fit(docs, known.limit(0))
     assert quality.judge(docs.limit(0), empty, F.col("source"), F.col("lang")).count() == 0
     assert quality.judge(docs, empty, F.col("source"), F.col("lang")).filter("NOT keep").count() == 0

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import zlib
 
@@ -9,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -58,19 +60,53 @@ def test_url_cascade_is_exact(spark):
     assert url_filter.judge(df.limit(0), rules, []).count() == 0
 
 
+def spark_hash(name, key):
+    """Spark's xxhash64(name, key) of a string and a long."""
+    h = xxhash.xxh64_intdigest(name.encode(), 42)
+    return h if key is None else xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), h)
+
+
+def descend(node, key):
+    """(draw, shard) by walking the tree."""
+    if not node.children:
+        return -math.log(((spark_hash(node.name, key) >> 12) + 1) * 2.0**-52) / node.weight, node.shard
+    d, shard = min(descend(c, key) for c in node.children)
+    return d / node.weight, shard
+
+
 def test_sharding_law(spark):
     docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text")).union(spark.createDataFrame(ODD, DOC).select("doc_id", "text"))
-    rows = sharding.place_documents(docs, 7, buckets=3).collect()
+    rows = sharding.place_documents(docs.withColumn("_bucket", F.lit(1)), 7, buckets=3).collect()
     assert len(rows) == 4006 and {r.grown_shard for r in rows if r.grown_shard != r.shard} == {7}
     for s in range(7):
         assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
-    assert {r.size for r in rows if r.doc_id == 2} <= {16, 17} and zlib.crc32(b"t") in {r.text_crc32 for r in rows}
-    tree = sharding.build_tree(8)
-    heavier = sharding.build_tree(8, weights={7: 3.0})
-    both = sharding.shard_by_key(sharding.shard_by_key(docs, "doc_id", tree, "a"), "doc_id", heavier, "b")
-    moved = {(r.a, r.b) for r in both.filter("a != b").select("a", "b").distinct().collect()}
-    assert {b for _, b in moved} <= {6, 7} and all(a // 2 == 3 or b // 2 == 3 for a, b in moved)
+    assert all((r.shard, r.grown_shard) == (descend(sharding.build_tree(7), r.doc_id)[1], descend(sharding.build_tree(8), r.doc_id)[1]) for r in rows)
+    by_text = {(t or "").encode() for _, t, _ in ODD} | {b"t"}
+    assert {(r.size, r.text_crc32, r.law) for r in rows} == {(len(t) + 16, zlib.crc32(t), "key") for t in by_text}
+    tree = sharding.build_tree(20)
+    for part, inside in (("s7", {7}), ("k1", {*range(5, 10)}), ("r1", {*range(10, 20)})):
+        heavier = sharding.build_tree(20, weights={part: 3.0})
+        both = sharding.shard_by_key(sharding.shard_by_key(docs, "doc_id", tree, "a"), "doc_id", heavier, "b")
+        moved = {(r.a, r.b) for r in both.filter("a != b").select("a", "b").distinct().collect()}
+        assert moved and all(b in inside and a not in inside for a, b in moved)
+    counts = np.bincount([descend(tree, i)[1] for i in range(8000)])
+    assert len(counts) == 20 and 330 < counts.min() and counts.max() < 470
     assert sharding.place_documents(docs.limit(0), 7).count() == 0
+    with pytest.raises(ValueError):
+        sharding.number_in_shard(docs.withColumn("_n", F.lit(1)), "doc_id", ["text"], "slot", 3)
+
+
+def test_a_grown_tree_is_the_next_tree(spark):
+    keys = spark.range(300).withColumnRenamed("id", "doc_id")
+    for n in (1, 4, 5, 9, 10, 39, 40, 59):
+        now = {r.doc_id: r for r in sharding.place_documents(keys.withColumn("text", F.lit(None).cast("string")), n).collect()}
+        then = {r.doc_id: r.shard for r in sharding.place_documents(keys.withColumn("text", F.lit("x")), n + 1).collect()}
+        assert then == {i: r.grown_shard for i, r in now.items()}
+    for n in range(1, 61):
+        a, b = sharding.build_tree(n), sharding.build_tree(n + 1)
+        for key in range(200):
+            old, new = descend(a, key)[1], descend(b, key)[1]
+            assert new in (old, n)
 
 
 def test_bpe_against_the_library(spark):
@@ -123,10 +159,9 @@ def test_matroska_laces_and_broken_bytes(spark):
 def test_packing(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     full = Tokenizer.from_file(path)
-    full.encode_special_tokens = True
     rng = random.Random(3)
     signs = "  \n\t\r\x0b\x1c  '''stremvlld SséÉ́ﬁΣσς日٣2 9!,.<|endoftext|>"
-    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 300))) for _ in range(300)] + ["<|endoftext|> a", "word " * 900]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 300))) for _ in range(300)] + ["<|endoftext|> a", "a<|startoftext|>b <|ENDOFTEXT|> x<|endoftext|><|endoftext|>y", "word " * 900]
     docs = [(i, t) for i, t in enumerate(texts)] + [(-1, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5, "doc_id")
     pieces = packing.pack(df, path, window=256, windows=4, gap=8, merge=3).collect()
