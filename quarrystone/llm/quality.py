@@ -13,7 +13,7 @@ site's sums, so that it isn't counted twice.
 Fitting uses at most `sample` labelled documents (the least by a hash of their id); scoring and all site figures
 cover every document in full.
 
-Defined cases: a null or empty text has no words and gets what its shape gives; a null host or path is a site
+Defined cases: a null or empty text has no words and gets what its shape gives; a text of any length is read whole; a null host or path is a site
 of its own; without labels of both kinds a target's probability is 0.5 for good and 0 for toxic, and all documents
 stay; repeated rows are judged each; an empty table gives an empty result; further columns are left alone.
 """
@@ -21,8 +21,9 @@ stay; repeated rows are judged each; an empty table gives an empty result; furth
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -119,13 +120,66 @@ class Model:
     weights: dict[str, np.ndarray | None] = field(default_factory=dict)
     base: dict[str, float] = field(default_factory=dict)
 
-    def probability(self, target: str, own: list[int], shape: np.ndarray) -> float:
+    def probabilities(self, target: str, doc: np.ndarray, own: np.ndarray, shapes: np.ndarray) -> np.ndarray:
+        """For documents with these rows of shapes, of which document doc[i] has the word own[i]."""
         w = self.weights.get(target)
         if w is None:
-            return 0.5 if target == "good" else 0.0
+            return np.full(len(shapes), 0.5 if target == "good" else 0.0)
         n = len(self.words)
-        z = w[own].sum() + shape @ w[n:-1] + w[-1]
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        z = np.bincount(doc, weights=w[own], minlength=len(shapes)) + shapes @ w[n:-1] + w[-1]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class BatchReader:
+    """Words and shapes of many texts at once: tokens are numbered, and what Reader says of each is kept in arrays."""
+
+    def __init__(self, words: list[str], limit: int = TOKEN_CACHE):
+        self.reader, self.limit = Reader(words), limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[str, int] = {}
+        self.figures = np.zeros((0, 5))
+        self.own, self.start = np.zeros(0, int), np.zeros(1, int)
+
+    def learn(self, tokens: Iterable[str]) -> None:
+        if len(self.number) > self.limit:
+            self.clear()
+            fresh = dict.fromkeys(tokens)
+        else:
+            fresh = dict.fromkeys(t for t in tokens if t not in self.number)
+        if not fresh:
+            return
+        facts = [self.reader.learn(t) for t in fresh]
+        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh))))
+        self.figures = np.vstack([self.figures, [f[1:] for f in facts]])
+        self.own = np.concatenate([self.own, np.fromiter(chain.from_iterable(f[0] for f in facts), int)])
+        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(f[0]) for f in facts])])
+
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """doc and own (a document's number and each word that it has, once), and the shapes."""
+        tokens = [(t or "").split() for t in texts]
+        n = np.array([len(t) for t in tokens], int)
+        flat = list(chain.from_iterable(tokens))
+        self.learn(flat)
+        ids = np.fromiter(map(self.number.__getitem__, flat), int, len(flat))
+        doc, many = np.repeat(np.arange(len(texts)), n), max(1, len(self.number))
+        shapes = np.zeros((len(texts), len(SHAPE)))
+        some = np.maximum(n, 1)
+        for j in range(5):
+            shapes[:, j] = np.bincount(doc, weights=self.figures[ids, j], minlength=len(texts)) / some
+        shapes[:, 4] /= 10
+        pairs = np.unique(doc * many + ids)
+        doc, ids = pairs // many, pairs % many
+        shapes[:, 5] = np.bincount(doc, minlength=len(texts)) / some
+        lines = [[x for x in (t or "").split("\n") if x.strip()] for t in texts]
+        shapes[:, 6] = [len(set(x)) / max(1, len(x)) for x in lines]
+        shapes[:, 7] = np.log1p(n) / 10
+        count = self.start[ids + 1] - self.start[ids]
+        at = np.repeat(self.start[ids] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(ids) else ids
+        width = max(1, len(self.reader.number))
+        pairs = np.unique(np.repeat(doc, count) * width + self.own[at])
+        return pairs // width, pairs % width, shapes * SHAPE_SCALE
 
 
 def train(rows: np.ndarray, shapes: np.ndarray, y: np.ndarray, params: Params) -> np.ndarray:
@@ -143,7 +197,10 @@ def train(rows: np.ndarray, shapes: np.ndarray, y: np.ndarray, params: Params) -
 
 
 def labelled(docs: DataFrame, labels: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
-    """The sample's texts with their labels; the sample's ids are at most params.sample rows, so they are broadcast."""
+    """The sample's texts with their labels; the sample's ids are at most params.sample rows, so they are broadcast.
+
+    Of several texts of one id the least stands for all, so the sample is at most params.sample texts.
+    """
     picked = (
         labels.select(F.col(id_col).alias("id"), F.col("quality").cast("int").alias("good"), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("id").isNotNull() & F.col("good").isNotNull() & F.col("toxic").isNotNull())
@@ -151,7 +208,8 @@ def labelled(docs: DataFrame, labels: DataFrame, params: Params, id_col: str, te
         .limit(params.sample)
     )
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return materialise(texts.join(F.broadcast(picked), "id"), "labelled")
+    met = texts.join(F.broadcast(picked), "id").groupBy("id", "good", "toxic").agg(F.min("text").alias("text"))
+    return materialise(met, "labelled")
 
 
 def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -221,18 +279,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params(), id_col: s
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """A struct column (good, toxic) of the classifier's probabilities for docs' text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    reader: list[Reader] = []
+    reader: list[BatchReader] = []
 
     @F.pandas_udf("good double, toxic double")
     def score(text: pd.Series) -> pd.DataFrame:
         if not reader:
-            reader.append(Reader(shared.value.words))
-        m = shared.value
-        out = []
-        for t in text:
-            own, shape = reader[0](t)
-            out.append([m.probability(k, own, shape) for k in TARGETS])
-        return pd.DataFrame(out, columns=list(TARGETS), dtype=float)
+            reader.append(BatchReader(shared.value.words))
+        read = reader[0](text.tolist())
+        return pd.DataFrame({k: shared.value.probabilities(k, *read) for k in TARGETS})
 
     return score(F.col(text_col).cast("string"))
 
@@ -246,7 +300,8 @@ def site_table(scores: DataFrame) -> tuple[DataFrame, dict[str, float]]:
     paths = scores.groupBy("host", "path").agg(F.count(F.lit(1)).alias("path_n"), *sums)
     hosts = paths.groupBy("host").agg(F.sum("path_n").alias("host_n"), *[F.sum(f"path_{t}").alias(f"host_{t}") for t in TARGETS])
     all_ = hosts.agg(F.sum("host_n").alias("n"), *[(F.sum(f"host_{t}") / F.sum("host_n")).alias(t) for t in TARGETS]).first()
-    sites = paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"])
+    # Written, the table has a size by which Spark broadcasts it or not.
+    sites = materialise(paths.join(hosts, paths["host"].eqNullSafe(hosts["host"])).drop(hosts["host"]), "sites")
     facts: dict[str, float] = {"n": all_["n"] or 0}
     for t in TARGETS:
         mean = min(max(all_[t] or 0.0, 1e-6), 1 - 1e-6)
@@ -297,14 +352,17 @@ def judge(docs: DataFrame, model: Model, host: Column, path: Column, params: Par
 
 
 def keep_good(docs: DataFrame, model: Model, host: Column, path: Column, params: Params = Params(), text_col: str = "text") -> DataFrame:
-    """docs without rejected rows; all columns stay. Rows are judged one by one, so ids need not be unique."""
+    """docs without rejected rows; all columns stay. Rows are judged one by one, so ids need not be unique.
+
+    Rows are written with their scores, so that texts are scored once.
+    """
     small_batches(docs.sparkSession)
-    scores = docs.select(host.cast("string").alias("host"), path.cast("string").alias("path"), scored(docs, model, text_col).alias("s"))
-    sites, facts = site_table(materialise(scores.select("host", "path", "s.good", "s.toxic"), "scores"))
     whole = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
         host.cast("string").alias("host"),
         path.cast("string").alias("path"),
         scored(docs, model, text_col).alias("s"),
     ).select("_row", "host", "path", "s.good", "s.toxic")
+    whole = materialise(whole, "scored")
+    sites, facts = site_table(whole.select("host", "path", "good", "toxic"))
     return with_sites(whole, sites, facts, params, ["_row"]).filter("keep").select("_row.*")
