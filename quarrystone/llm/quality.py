@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from itertools import chain
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,23 +71,27 @@ class Reader:
 
     def __init__(self, words: list[str] | None = None, limit: int = TOKEN_CACHE):
         self.limit, self.known = limit, {}
-        self.number = None if words is None else {w: i for i, w in enumerate(words)}
+        self.find = None if words is None else ahocorasick.Automaton()
+        for i, w in enumerate(words or []):
+            self.find.add_word(w, i)
+        if words:
+            self.find.make_automaton()
+        self.size = len(words or [])
 
     def learn(self, token: str) -> tuple:
         """Features, whether upper case, signs behind, signs alone, digits, and the word's length."""
         core = token.strip(STRIP)
-        if not any(c.isalnum() for c in core):
+        plain = core.isalpha()
+        if not plain and not any(c.isalnum() for c in core):
             return (), 0, 0, 1, 0, len(token)
-        behind = token[len(token.rstrip(STRIP)) :]
-        if self.number is None:
+        if self.find is None:
             own = pieces(core.lower())
         else:
-            marked, get = f"^{core.lower()}$", self.number.get
-            own = {get(marked[i : i + n]) for n in (4, 5, 6) for i in range(len(marked) - n + 1)}
-            own.add(get(marked))
-            own.discard(None)
+            # The model's words are pieces, which are what is found anywhere in the marked word.
+            own = {i for _, i in self.find.iter(f"^{core.lower()}$")} if self.size else ()
+        behind = len(token) - len(token.rstrip(STRIP))
         return (
-            tuple(own), int(len(core) > 1 and core.isupper()), int(len(behind) > 1), 0, int(any(c.isdigit() for c in core)), len(core)
+            tuple(own), int(len(core) > 1 and core.isupper()), int(behind > 1), 0, int(not plain and any(c.isdigit() for c in core)), len(core)
         )
 
     def __call__(self, text: str | None) -> tuple[list, np.ndarray]:
@@ -130,6 +135,11 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 class BatchReader:
     """Words and shapes of many texts at once: tokens are numbered, and what Reader says of each is kept in arrays."""
 
@@ -145,9 +155,7 @@ class BatchReader:
     def learn(self, tokens: Iterable[str]) -> None:
         if len(self.number) > self.limit:
             self.clear()
-            fresh = dict.fromkeys(tokens)
-        else:
-            fresh = dict.fromkeys(t for t in tokens if t not in self.number)
+        fresh = [t for t in dict.fromkeys(tokens) if t not in self.number]
         if not fresh:
             return
         facts = [self.reader.learn(t) for t in fresh]
@@ -169,7 +177,7 @@ class BatchReader:
         for j in range(5):
             shapes[:, j] = np.bincount(doc, weights=self.figures[ids, j], minlength=len(texts)) / some
         shapes[:, 4] /= 10
-        pairs = np.unique(doc * many + ids)
+        pairs = distinct(doc * many + ids)
         doc, ids = pairs // many, pairs % many
         shapes[:, 5] = np.bincount(doc, minlength=len(texts)) / some
         lines = [[x for x in (t or "").split("\n") if x.strip()] for t in texts]
@@ -177,8 +185,8 @@ class BatchReader:
         shapes[:, 7] = np.log1p(n) / 10
         count = self.start[ids + 1] - self.start[ids]
         at = np.repeat(self.start[ids] - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum()) if len(ids) else ids
-        width = max(1, len(self.reader.number))
-        pairs = np.unique(np.repeat(doc, count) * width + self.own[at])
+        width = max(1, self.reader.size)
+        pairs = distinct(np.repeat(doc, count) * width + self.own[at])
         return pairs // width, pairs % width, shapes * SHAPE_SCALE
 
 
