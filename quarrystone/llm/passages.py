@@ -13,8 +13,8 @@
 
 The first document with a passage keeps it; in all later ones it is a repeat.
 
-Defined cases: a null or empty text or one of under min_words words has no passage; a null id takes no part; rows
-of one id with different texts are told apart by their texts; repeated rows of one id and text count as one
+Defined cases: a null or empty text or one of under min_words words has no passage; a text of any length is read
+whole, in one task; a null id takes no part; rows of one id with different texts are told apart by their texts; repeated rows of one id and text count as one
 document and each shows its passages; passages inside one document alone are left; an empty table gives an empty
 result; further columns are left alone.
 """
@@ -30,10 +30,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialise, n_partitions, shingles, small_batches
+from .common import WordHashes, discard, materialise, n_partitions, reclaim, shingles, small_batches
 
 #: Members of a source that one task aligns at a time.
 GROUP = 256
+#: Passages up to which their documents' texts are fetched by a broadcast; with more, texts are shuffled.
+BROADCAST_ROWS = 500_000
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -266,53 +268,107 @@ def seeds(docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFr
 
 
 def chained(matches: DataFrame, params: Params, kind: str) -> DataFrame:
-    """Chains of each document with each source: (id, src, xs, ys), positions as 32-bit integers.
+    """(id, chains): all chains of a document, each with its source and positions as 32-bit integers.
 
     A document's matches are at most its seeds, so a group is never larger than a document.
     """
     spark = matches.sparkSession
     sorted_ = matches.repartition(n_partitions(spark), "id").sortWithinPartitions("id", "src", "pos")
 
-    def of(own, part: pd.DataFrame) -> list[tuple]:
-        x, y, src = part["pos"].to_numpy(), part["spos"].to_numpy(), part["src"].to_numpy()
-        out = []
-        for s in pd.unique(src):
-            at = np.flatnonzero(src == s)
+    def of(part: pd.DataFrame) -> list[tuple]:
+        own, src = part["id"].to_numpy(), part["src"].to_numpy()
+        x, y = part["pos"].to_numpy(), part["spos"].to_numpy()
+        first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (src[1:] != src[:-1])])
+        out: list[tuple] = []
+        for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(own)]):
+            if not out or out[-1][0] != own[lo]:
+                out.append((own[lo], []))
             # All chains: one inside another's range may align what that one only bridges.
-            for c in chains(x[at], y[at], params):
-                out.append((own, s, x[at[c]].astype("<i4").tobytes(), y[at[c]].astype("<i4").tobytes()))
+            for c in chains(x[lo:hi], y[lo:hi], params):
+                out[-1][1].append({"src": src[lo], "xs": x[lo + c].astype("<i4").tobytes(), "ys": y[lo + c].astype("<i4").tobytes()})
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns, held = ["id", "src", "xs", "ys"], None
+        columns, held = ["id", "chains"], []
         for pdf in batches:
-            if held is not None:
-                pdf = pd.concat([held, pdf])
-            last = pdf["id"].iloc[-1] if len(pdf) else None
-            done, held = pdf[pdf["id"] != last], pdf[pdf["id"] == last]
-            out = [r for own, part in done.groupby("id", sort=False) for r in of(own, part)]
-            yield pd.DataFrame(out, columns=columns)
-        if held is not None and len(held):
-            yield pd.DataFrame(of(held["id"].iloc[0], held), columns=columns)
+            if not len(pdf):
+                continue
+            # A document that may go on in the next batch waits; its parts are joined once.
+            own = pdf["id"].to_numpy()
+            last = int(own.searchsorted(own[-1])) if own.dtype != object else int(np.flatnonzero(np.r_[True, own[1:] != own[:-1]])[-1])
+            if held and last == 0 and held[-1]["id"].iloc[-1] == own[0]:
+                held.append(pdf)
+                continue
+            if held or last:
+                yield pd.DataFrame(of(pd.concat([*held, pdf.iloc[:last]])), columns=columns)
+            held = [pdf.iloc[last:]]
+        if held:
+            yield pd.DataFrame(of(pd.concat(held)), columns=columns)
+
+    return sorted_.mapInPandas(run, f"id {kind}, chains array<struct<src:{kind},xs:binary,ys:binary>>")
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
+
+
+def segments(chains_: list, n: int, params: Params) -> list[tuple]:
+    """(source, first word, last word, chains) for a document of n words: what its chains' alignments can reach, overlapping reaches as one."""
+    reach = 4 * params.break_gap
+    spans = []
+    for c in chains_:
+        x = np.frombuffer(c["xs"], "<i4")
+        first, last = max(0, int(x[0]) - reach), min(n, int(x[-1]) + params.k + reach)
+        if first < last:
+            spans.append((c["src"], first, last, c))
+    out: list[list] = []
+    for src, first, last, c in sorted(spans, key=lambda s: s[:3]):
+        if out and out[-1][0] == src and first <= out[-1][2]:
+            out[-1][2] = max(out[-1][2], last)
+            out[-1][3].append({"xs": c["xs"], "ys": c["ys"]})
+        else:
+            out.append([src, first, last, [{"xs": c["xs"], "ys": c["ys"]}]])
+    return out
+
+
+def sliced(found: DataFrame, docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
+    """A row for each segment: src, id, mark (of the text), its words from word `first` on as 32-bit hashes, and its chains.
+
+    So a document's text is read once, whatever the number of its sources, and only these words go to the source.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    met = texts_of(docs, id_col, text_col).join(found, "id").select("id", "mark", "text", "chains")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        for pdf in batches:
+            out = []
+            for own, mark, text, chains_ in zip(*(pdf[c] for c in ("id", "mark", "text", "chains"))):
+                words = hashes(text).astype("<u4")
+                out += [(src, own, mark, lo, words[lo:hi].tobytes(), inside) for src, lo, hi, inside in segments(chains_, len(words), params)]
+            yield pd.DataFrame(out, columns=["src", "id", "mark", "first", "words", "chains"])
 
-    return sorted_.mapInPandas(run, f"id {kind}, src {kind}, xs binary, ys binary")
+    return met.mapInPandas(run, f"src {kind}, id {kind}, mark long, first int, words binary, chains array<struct<xs:binary,ys:binary>>")
 
 
 def aligned(found: DataFrame, docs: DataFrame, params: Params, id_col: str, text_col: str) -> DataFrame:
-    """Aligned chains: id, mark (of the text), src, word and character ranges, equal words."""
+    """Aligned chains: id, mark, src, word ranges of both, equal words.
+
+    A source of very many documents is spread over tasks, each with a copy of its text; a task streams the segments.
+    """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    per_pair = materialise(found.groupBy("id", "src").agg(F.collect_list(F.struct("xs", "ys")).alias("chains")), "chains")
-    counts = per_pair.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts"))
-    salted = per_pair.join(counts, "src").withColumn("salt", F.pmod(F.xxhash64("id"), "salts"))
-    members = salted.select("id", "src", "salt", F.lit(1).alias("role"), "chains")
-    none = F.lit(None).cast("array<struct<xs:binary,ys:binary>>").alias("chains")
-    sources = salted.select("src", "salt").distinct().select(F.col("src").alias("id"), "src", "salt", F.lit(0).alias("role"), none)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.withColumn("mark", F.xxhash64("text"))
+    wanted = found.select(F.explode(F.array_distinct(F.col("chains.src"))).alias("src"))
+    counts = materialise(wanted.groupBy("src").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("salts")), "sources")
+    members = sliced(found, docs, params, id_col, text_col).join(counts, "src")
+    members = members.withColumn("salt", F.pmod(F.xxhash64("id"), "salts")).drop("salts")
+    copies = counts.select(F.col("src").alias("id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    sources = texts_of(docs, id_col, text_col).join(copies, "id").select(F.col("id").alias("src"), "salt", "text")
+    # No nulls in whole numbers, which would turn them into floats on their way.
+    sources = sources.select("*", F.col("src").alias("id"), F.lit(0).cast("long").alias("mark"), F.lit(0).alias("first"))
     met = (
-        members.unionByName(sources)
-        .join(texts, "id")
+        members.unionByName(sources, allowMissingColumns=True)
+        .withColumn("role", F.col("text").isNull().cast("int"))
         .repartition(n_partitions(spark), "src", "salt")
         .sortWithinPartitions("src", "salt", "role")
     )
@@ -322,26 +378,43 @@ def aligned(found: DataFrame, docs: DataFrame, params: Params, id_col: str, text
         now, sources_ = None, []
         for pdf in batches:
             out = []
-            for own, src, salt, role, found_, text, mark in zip(*(pdf[c] for c in ("id", "src", "salt", "role", "chains", "text", "mark"))):
+            for src, salt, text, own, mark, first, words, chains_ in zip(*(pdf[c] for c in ("src", "salt", "text", "id", "mark", "first", "words", "chains"))):
                 if (src, salt) != now:
                     now, sources_ = (src, salt), []
-                words = hashes(text)
-                if role == 0:
-                    sources_.append(words)
+                if text is not None:
+                    sources_.append(hashes(text).astype("<u4"))
                     continue
-                spans = None
-                for c in found_:
-                    x, y = np.frombuffer(c["xs"], "<i4"), np.frombuffer(c["ys"], "<i4")
+                mine = np.frombuffer(words, "<u4")
+                for c in chains_:
+                    x, y = np.frombuffer(c["xs"], "<i4") - np.int32(first), np.frombuffer(c["ys"], "<i4")
                     for other in sources_:
-                        got = align(words, other, x, y, params)
+                        got = align(mine, other, x, y, params)
                         if got:
-                            spans = spans or [m.span() for m in WORD.finditer(text)]
-                            out += [(own, mark, src, *g[:4], spans[g[0]][0], spans[g[1] - 1][1], g[4]) for g in got]
+                            out += [(own, mark, src, g[0] + int(first), g[1] + int(first), *g[2:]) for g in got]
                             break
-            yield pd.DataFrame(out, columns=["id", "mark", "src", "a0", "a1", "b0", "b1", "c0", "c1", "equal"])
+            yield pd.DataFrame(out, columns=["id", "mark", "src", "a0", "a1", "b0", "b1", "equal"])
+
+    return met.mapInPandas(run, f"id {kind}, mark long, src {kind}, a0 int, a1 int, b0 int, b1 int, equal int")
+
+
+def with_characters(found: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """found (id, mark, start_word, end_word, ...) plus start_char and end_char, from the texts of its documents."""
+    own = found.groupBy("id", "mark").agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    texts = texts_of(docs, id_col, text_col)
+    met = texts.join(F.broadcast(own) if found.count() <= BROADCAST_ROWS else own, ["id", "mark"])
+    met = met.groupBy("id", "mark").agg(F.first("text").alias("text"), F.first("spans").alias("spans"))
+    kind = found.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for own_, mark, text, spans in zip(*(pdf[c] for c in ("id", "mark", "text", "spans"))):
+                at = [m.span() for m in WORD.finditer(text)]
+                out += [(own_, mark, s["start_word"], at[s["start_word"]][0], at[s["end_word"] - 1][1]) for s in spans]
+            yield pd.DataFrame(out, columns=["id", "mark", "start_word", "start_char", "end_char"])
 
-    schema = f"id {kind}, mark long, src {kind}, a0 int, a1 int, b0 int, b1 int, c0 int, c1 int, equal int"
-    return met.mapInPandas(run, schema)
+    placed = met.mapInPandas(run, f"id {kind}, mark long, start_word int, start_char int, end_char int")
+    return found.join(placed, ["id", "mark", "start_word"])
 
 
 def repeats(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,8 +425,14 @@ def repeats(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id",
     posted = materialise(seeds(docs, params, id_col, text_col), "seeds")
     firsts = posted.groupBy("seed").agg(F.min(F.struct("id", "pos")).alias("f"), F.max("id").alias("high"))
     firsts = firsts.filter(F.col("f.id") != F.col("high")).select("seed", F.col("f.id").alias("src"), F.col("f.pos").alias("spos"))
-    matches = posted.join(firsts, "seed").filter(F.col("id") != F.col("src")).select("id", "pos", "src", "spos")
-    lines = aligned(chained(matches, params, kind), docs, params, id_col, text_col)
+    # Each of the large shuffles is written off and freed before the next.
+    firsts = materialise(firsts, "firsts")
+    reclaim(docs.sparkSession)
+    matches = posted.join(firsts.hint("merge"), "seed").filter(F.col("id") != F.col("src")).select("id", "pos", "src", "spos")
+    found = materialise(chained(matches, params, kind), "chains")
+    discard(posted, firsts)
+    reclaim(docs.sparkSession)
+    lines = aligned(found, docs, params, id_col, text_col)
     # Chains that touch or nearly touch are one passage: a new one begins where no earlier chain reaches.
     order = Window.partitionBy("id", "mark").orderBy("a0", "a1", "src", "b0")
     reach = F.max("a1").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -364,12 +443,13 @@ def repeats(docs: DataFrame, params: Params = Params(), id_col: str = "doc_id",
     merged = numbered.groupBy("id", "mark", "_passage").agg(
         F.min("a0").alias("start_word"),
         F.max("a1").alias("end_word"),
-        F.min("c0").alias("start_char"),
-        F.max("c1").alias("end_char"),
         best.alias("best"),
         F.count_distinct("src").alias("n_sources"),
     )
-    return merged.filter(F.col("end_word") - F.col("start_word") >= params.min_words).select(
+    merged = materialise(merged.filter(F.col("end_word") - F.col("start_word") >= params.min_words), "passages")
+    discard(found)
+    reclaim(docs.sparkSession)
+    return with_characters(merged, docs, id_col, text_col).select(
         F.col("id").alias(id_col),
         "mark",
         "start_word",
