@@ -121,10 +121,13 @@ def extend(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     n = min(len(a), len(b))
     if not n:
         return 0, 0
-    same = a[:n] == b[:n]
-    gain = np.cumsum(np.where(same, 1, -2))
+    same = np.flatnonzero(a[:n] == b[:n])
+    if not len(same):
+        return 0, 0
+    # One for each equal word and two off for each other, up to and with an equal word.
+    gain = 3 * np.arange(1, len(same) + 1) - 2 * (same + 1)
     best = int(gain.argmax())
-    return (best + 1, int(same[: best + 1].sum())) if gain[best] > 0 else (0, 0)
+    return (int(same[best]) + 1, best + 1) if gain[best] > 0 else (0, 0)
 
 
 def edit_columns(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int]]:
@@ -201,6 +204,14 @@ def align(a: np.ndarray, b: np.ndarray, x: np.ndarray, y: np.ndarray, params: Pa
     x, y = x[fits], y[fits]
     if not len(x):
         return []
+    if len(x) == 1:
+        x0, y0 = int(x[0]), int(y[0])
+        if (a[x0 : x0 + k] == b[y0 : y0 + k]).all():  # a lone seed that holds: nothing to join, only its ends to extend
+            back, more = extend(a[max(0, x0 - reach) : x0][::-1], b[max(0, y0 - reach) : y0][::-1])
+            on, most = extend(a[x0 + k : x0 + k + reach], b[y0 + k : y0 + k + reach])
+            if k + more + most >= params.least_identity * (k + back + on):
+                return [(x0 - back, x0 + k + on, y0 - back, y0 + k + on, k + more + most)]
+            return split(a, b, [(x0 - back, x0, y0 - back), (x0, x0 + k, y0), (x0 + k, x0 + k + on, y0 + k)], params)
     firsts = np.flatnonzero(np.r_[True, np.diff(x - y) != 0])
     parts: list[list[int]] = []
     for f, n in zip(firsts.tolist(), np.r_[firsts[1:], len(x)].tolist()):
