@@ -58,7 +58,7 @@ step AS (
 inner_n AS (
   SELECT n_regionkey AS r, n_nationkey AS n, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS rn FROM nation
 ),
-edges AS (
+edges AS MATERIALIZED (
   SELECT pname AS src, 'copy:N' || (k % 25) AS dst, 'copy' AS type, path AS rel_path, 6 AS line FROM part_k
   UNION ALL SELECT pname, target, CASE WHEN mechanism <> 'CALL' THEN 'cics' WHEN dynamic THEN 'dynamic_call' ELSE 'call' END, rel_path, line FROM calls
   UNION ALL SELECT pname, 'table:' || name, 'sql', rel_path, line FROM sql_tables
@@ -67,16 +67,16 @@ edges AS (
   UNION ALL SELECT 'R' || r_regionkey, 'copy:NINC' || r_regionkey, 'copy', 'pli/R' || r_regionkey || '.pli', 4 FROM region
   UNION ALL SELECT 'R' || r, 'N_' || n, 'call', 'pli/R' || r || '.pli', 8 + rn FROM inner_n
 ),
-defined AS (
+defined AS MATERIALIZED (
   SELECT pname AS key, pname AS name, 'program' AS type FROM part_k UNION ALL SELECT pname, pname, 'program' FROM leaf
   UNION ALL SELECT 'copy:' || name, name, 'copybook' FROM book UNION ALL SELECT 'job:J' || o_orderkey, 'J' || o_orderkey, 'job' FROM orders
   UNION ALL SELECT DISTINCT 'CUST.C' || c, 'CUST.C' || c, 'dataset' FROM step
   UNION ALL SELECT DISTINCT 'table:' || name, name, 'table' FROM sql_tables UNION ALL SELECT 'R' || r_regionkey, 'R' || r_regionkey, 'program' FROM region
 ),
-external AS (
+external AS MATERIALIZED (
   SELECT DISTINCT dst AS key, regexp_replace(dst, '^[^:]*:', '') AS name, 'external' AS type FROM edges WHERE dst NOT IN (SELECT key FROM defined)
 ),
-nodes AS (SELECT *, true AS defined FROM defined UNION ALL SELECT *, false FROM external),
+nodes AS MATERIALIZED (SELECT *, true AS defined FROM defined UNION ALL SELECT *, false FROM external),
 found AS (
   SELECT 'LL-SEC-001' AS rule_id, 'Hard-coded credential or secret' AS title, 'high' AS severity, 'CWE-798' AS cwe, path AS rel_path, 11 AS line,
          'MOVE ''hunter2'' TO WS-PASSWORD.' AS evidence FROM part_k WHERE k % 7 = 0
@@ -299,16 +299,16 @@ query("documents_ipv4", DOCS + f"SELECT rel_path, line FROM l WHERE {IP_SQL}", F
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A reply per order with one finding whose values go out of range by the key."""
+    """A reply per order with one finding whose values go out of range by the key, and an item without a title."""
     o = F.col("o_orderkey")
     sev = F.element_at(F.array(*[F.lit(x) for x in ("high", "LOW", "dire")]), (o % 3 + 1).cast("int"))
-    item = F.format_string('Here: [{"title": "T%d", "severity": "%s", "line": "%s", "confidence": "%s"}] done', o, sev, F.when(o % 2 == 0, o.cast("string")).otherwise("x"), F.when(o % 5 == 0, "7").when(o % 5 == 1, "-1").when(o % 5 == 2, "0.25").otherwise("?"))
+    item = F.format_string('Here: [{"title": "T%d", "severity": "%s", "line": "%s", "confidence": "%s", "cwe": "CWE-79", "owasp": null, "rationale": "why"}, {"severity": "high"}] done', o, sev, F.when(o % 2 == 0, o.cast("string")).otherwise("x"), F.when(o % 5 == 0, "7").when(o % 5 == 1, "-1").when(o % 5 == 2, "0.25").otherwise("?"))
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("o/"), o.cast("string")).alias("rel_path"), item.alias("reply"))
 
 
 query(
     "llm_findings_sanitize",
-    """SELECT 'LLM-ADVISORY' AS rule_id, 'o/' || o_orderkey AS rel_path, 'T' || o_orderkey AS title, CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity,
+    """SELECT 'LLM-ADVISORY' AS rule_id, 'CWE-79' AS cwe, NULL::VARCHAR AS owasp, '(LLM-identified; verify against source)' AS evidence, 'why' AS rationale, '' AS remediation, 'llm' AS source, 'o/' || o_orderkey AS rel_path, 'T' || o_orderkey AS title, CASE o_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS severity,
       CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey ELSE 0 END AS line, CASE o_orderkey % 5 WHEN 0 THEN 1.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.25 ELSE 0.5 END::DOUBLE AS confidence,
       true AS requires_human_review FROM orders""",
     False,
@@ -461,9 +461,20 @@ query("emit_json_findings")(lambda s, d: emit.json_findings(Estate.rendered(s, d
 query("emit_sarif_rows")(lambda s, d: emit.sarif_rows(Estate.rendered(s, d).findings))
 from_estate("emit_sarif_rules", lambda e: emit.sarif_rules(e.findings).select("rule_id", "name", "cwe"),
     "SELECT rule_id, title AS name, cwe FROM (SELECT *, row_number() OVER (PARTITION BY rule_id ORDER BY rel_path, line) AS r FROM fp) WHERE r = 1")
-from_estate("doc_dependency_lines", lambda e: emit.dependency_lines(e.cobol.calls, e.cobol.copies),
-    """SELECT rel_path, line, '- calls `' || target || '`' || CASE WHEN dynamic THEN ' (dynamic)' ELSE '' END || ' (`' || rel_path || ':' || line || '`)' AS row FROM calls
-    UNION ALL SELECT path, 6, '- copies `N' || (k % 25) || '` (`' || path || ':6`)' FROM part_k""")
+from_estate("doc_dependency_lines", lambda e: emit.dependency_lines(e.cobol.calls, e.cobol.copies, e.cobol.sql_tables),
+    """SELECT rel_path, line, '- ' || CASE WHEN mechanism <> 'CALL' THEN mechanism WHEN dynamic THEN 'dynamic CALL' ELSE 'CALL' END || ' → `' || target || '` (`' || rel_path || ':' || line || '`)' AS row FROM calls
+    UNION ALL SELECT path, 6, '- COPY → `N' || (k % 25) || '` (`' || path || ':6`)' FROM part_k
+    UNION ALL SELECT rel_path, line, '- SQL ' || op || ' → table `' || name || '` (`' || rel_path || ':' || line || '`)' FROM sql_tables""")
+from_estate("doc_reverse_lines", lambda e: emit.reverse_lines(e.graph.reverse),
+    """SELECT d.name, CASE e.type WHEN 'call' THEN '- **Called by:** ' ELSE '- **Invoked by job(s):** ' END || string_agg(DISTINCT s.name, ', ' ORDER BY s.name) AS row
+    FROM edges e JOIN nodes s ON s.key = e.src JOIN nodes d ON d.key = e.dst WHERE e.type IN ('call', 'exec') GROUP BY d.name, e.type""")
+from_estate("doc_business_logic", lambda e: emit.business_lines(e.cobol.paragraphs),
+    """SELECT path AS rel_path, 'Procedure flow (by paragraph): `MAIN-PARA`, `CALL-PARA`.' AS row FROM part_k UNION ALL SELECT path, 'Procedure flow (by paragraph): `LEAF-PARA`.' FROM leaf""")
+from_estate("doc_overview_counts", lambda e: emit.overview_counts(e.graph.nodes, e.findings),
+    """SELECT 'inventory' AS part, list_position(['program', 'copybook', 'job', 'dataset', 'external'], type)::BIGINT AS at, '- **' || upper(type[1]) || type[2:] || ':** ' || count(*) AS row FROM nodes WHERE type <> 'table' GROUP BY type
+    UNION ALL SELECT 'security', 0, '- **Total findings:** ' || count(*) FROM found
+    UNION ALL SELECT 'security', list_position(['critical', 'high', 'medium', 'low', 'info'], severity)::BIGINT, '  - ' || severity || ': ' || count(*) FROM found GROUP BY severity
+    UNION ALL SELECT 'security', 6, '- **Require human review:** 0'""")
 from_estate("doc_fallback_purpose",
     lambda e: e.cobol.programs.join(e.cobol.calls.groupBy("rel_path").agg(F.count(F.lit(1)).alias("n_calls")), "rel_path", "left").select(
         "rel_path", emit.fallback_purpose(F.when(F.col("is_copybook"), "Copybook").otherwise("Program"), F.col("n_paragraphs"), F.col("n_items"), F.coalesce("n_calls", F.lit(0))).alias("purpose")

@@ -153,11 +153,44 @@ def doc_name(name: Column) -> Column:
     return F.concat(F.regexp_replace(name, r"(?U)[^\p{IsAlphabetic}\p{IsDigit}_-]", "_"), F.lit(".md"))
 
 
-def dependency_lines(calls: DataFrame, copies: DataFrame) -> DataFrame:
-    """rel_path and Markdown rows of what a program calls and copies, with the place of each."""
+def dependency_lines(calls: DataFrame, copies: DataFrame, sql_tables: DataFrame) -> DataFrame:
+    """rel_path, line and Markdown rows of what a program calls, copies and reads or writes, with the place of each."""
     place = F.concat(F.lit(" (`"), F.col("rel_path"), F.lit(":"), F.col("line").cast("string"), F.lit("`)"))
-    called = calls.select("rel_path", "line", F.concat(F.lit("- calls `"), F.col("target"), F.lit("`"), F.when(F.col("dynamic"), " (dynamic)").otherwise(""), place).alias("row"))
-    return called.unionByName(copies.select("rel_path", "line", F.concat(F.lit("- copies `"), F.col("name"), F.lit("`"), place).alias("row")))
+    kind = F.when(F.startswith("mechanism", F.lit("CICS")), F.col("mechanism")).when(F.col("dynamic"), "dynamic CALL").otherwise("CALL")
+    row = lambda *parts: F.concat(F.lit("- "), *parts, F.lit("`"), place).alias("row")
+    called = calls.select("rel_path", "line", row(kind, F.lit(" → `"), F.col("target")))
+    copied = copies.select("rel_path", "line", row(F.lit("COPY → `"), F.col("name")))
+    return called.unionByName(copied).unionByName(sql_tables.select("rel_path", "line", row(F.lit("SQL "), F.col("op"), F.lit(" → table `"), F.col("name"))))
+
+
+def reverse_lines(reverse: DataFrame) -> DataFrame:
+    """name and Markdown rows of who calls a program and which jobs run it (reverse: name, callers, jobs, joined by commas)."""
+    said = lambda c, words: F.when(F.col(c) != "", F.concat(F.lit(f"- **{words}:** "), F.replace(F.col(c), F.lit(","), F.lit(", "))))
+    rows = F.array_compact(F.array(said("callers", "Called by"), said("jobs", "Invoked by job(s)")))
+    return reverse.select("name", F.explode(rows).alias("row"))
+
+
+def business_lines(paragraphs: DataFrame) -> DataFrame:
+    """rel_path and the sentence on a program's flow: its first twelve paragraphs in order of their lines."""
+    names = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("line", "name"))), 1, 12), lambda p: F.concat(F.lit("`"), p["name"], F.lit("`")))
+    flow = F.concat(F.lit("Procedure flow (by paragraph): "), F.array_join(names, ", "), F.lit("."))
+    return paragraphs.groupBy("rel_path").agg(flow.alias("row"))
+
+
+#: Node types of an overview's inventory, and severities of its summary, in order.
+INVENTORY = ("program", "copybook", "job", "dataset", "external")
+LISTED = ("critical", "high", "medium", "low", "info")
+
+
+def overview_counts(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """part, at and row: the inventory and the security summary of a system overview, in their order."""
+    listed = lambda names, c: F.array_position(F.array(*[F.lit(n) for n in names]), F.col(c))
+    kinds = nodes.groupBy("type").agg(F.count(F.lit(1)).alias("n")).filter(F.col("type").isin(*INVENTORY))
+    inventory = kinds.select(F.lit("inventory").alias("part"), listed(INVENTORY, "type").alias("at"), F.concat(F.lit("- **"), F.initcap("type"), F.lit(":** "), F.col("n").cast("string")).alias("row"))
+    per = found.groupBy("severity").agg(F.count(F.lit(1)).alias("n"), F.count_if("requires_human_review").alias("review"))
+    severities = per.filter(F.col("severity").isin(*LISTED)).select(F.lit("security").alias("part"), listed(LISTED, "severity").alias("at"), F.concat(F.lit("  - "), "severity", F.lit(": "), F.col("n").cast("string")).alias("row"))
+    total = lambda c, words, at: per.agg(F.coalesce(F.sum(c), F.lit(0)).cast("string").alias("n")).select(F.lit("security").alias("part"), F.lit(at).cast("long").alias("at"), F.concat(F.lit(f"- **{words}:** "), "n").alias("row"))
+    return inventory.unionByName(total("n", "Total findings", 0)).unionByName(severities).unionByName(total("review", "Require human review", len(LISTED) + 1))
 
 
 def fallback_purpose(kind: Column, paragraphs: Column, items: Column, calls: Column) -> Column:

@@ -81,18 +81,28 @@ def control_counts(found: DataFrame) -> DataFrame:
 
 
 def sanitised(replies: DataFrame) -> DataFrame:
-    """Advisory findings of model replies (rel_path, reply): the JSON array in each, with every value brought into range."""
-    fields = "title string, severity string, line string, confidence string, rationale string, remediation string"
+    """Advisory findings of model replies (rel_path, reply): the JSON array in each, with every value brought into range.
+
+    Items without a title are no findings.
+    """
+    fields = "title string, severity string, line string, confidence string, rationale string, remediation string, cwe string, owasp string"
     array = F.regexp_extract("reply", r"(?s)\[.*\]", 0)
-    rows = replies.select("rel_path", F.explode(F.from_json(array, f"array<struct<{fields}>>")).alias("f"))
+    rows = replies.select("rel_path", F.explode(F.from_json(array, f"array<struct<{fields}>>")).alias("f")).filter("f.title IS NOT NULL")
     conf = F.coalesce(F.col("f.confidence").try_cast("double"), F.lit(0.5))
     severity = F.lower(F.col("f.severity"))
+    short = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, 1000)
     return rows.select(
         F.lit("LLM-ADVISORY").alias("rule_id"),
-        "rel_path",
-        F.substring(F.coalesce("f.title", F.lit("Advisory finding")), 1, 200).alias("title"),
+        F.substring("f.title", 1, 200).alias("title"),
         F.when(severity.isin(*SEVERITIES), severity).otherwise("medium").alias("severity"),
+        F.nullif(F.col("f.cwe"), F.lit("")).alias("cwe"),
+        F.nullif(F.col("f.owasp"), F.lit("")).alias("owasp"),
+        "rel_path",
         F.when(F.col("f.line").rlike(r"^\d+$"), F.col("f.line").try_cast("int")).otherwise(0).alias("line"),
+        F.lit("(LLM-identified; verify against source)").alias("evidence"),
+        short("f.rationale").alias("rationale"),
+        short("f.remediation").alias("remediation"),
         F.least(F.greatest(conf, F.lit(0.0)), F.lit(1.0)).alias("confidence"),
+        F.lit("llm").alias("source"),
         F.lit(True).alias("requires_human_review"),
     )
