@@ -5,6 +5,7 @@ Estate queries go tables -> rendered text -> extraction; their SQL states the fa
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +15,8 @@ from .functions import text as T
 from .operators import cobol, emit, findings, gateway, index, retrieval, rules
 from .operators.classify import classified
 from .plans.estate import Estate
+from .sources.storage import shared_dir
+from .sources.store import Store
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -353,6 +356,26 @@ from_estate("compliance_counts", lambda e: findings.control_counts(findings.with
     "SELECT coalesce(control, 'unmapped') AS control, count(*) AS n FROM fp LEFT JOIN controls USING (cwe) WHERE NOT starts_with(fingerprint, '0') GROUP BY 1")
 from_estate("findings_list", lambda e: e.findings.select("fingerprint", "rule_id", "title", "severity", "rel_path", "line"), "SELECT fingerprint, rule_id, title, severity, rel_path, line FROM fp")
 
+OWN_PACK = {"own": [{"id": "OWN-009", "title": "Known password", "severity": "HIGH", "pattern": "hunter2", "languages": ["COBOL"], "owasp": "A07", "rationale": "leaked"}]}
+from_estate("rules_pack_selection",
+    lambda e: rules.run_packs(e.files, e.cobol.calls, ["owasp", "own", "cwe", "none"], OWN_PACK).groupBy("rule_id", "severity", "source").agg(F.count(F.lit(1)).alias("n")),
+    "SELECT rule_id, severity, 'rule' AS source, count(*) AS n FROM found GROUP BY 1, 2 UNION ALL SELECT 'OWN-009', 'high', 'rule', count(*) FROM part_k WHERE k % 7 = 0")
+
+
+def stored(spark: SparkSession) -> Store:
+    """A fresh store in the shared folder."""
+    return Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+
+
+def replaced(e: Estate) -> DataFrame:
+    """Findings stored twice; the second run's alone are left."""
+    store = stored(e.files.sparkSession)
+    store.replace("findings", e.findings.select("fingerprint", "rule_id", "rel_path", "line"))
+    return store.replace("findings", e.findings.filter("severity = 'high'").select("fingerprint", "rule_id", "rel_path", "line"))
+
+
+from_estate("findings_replace", replaced, "SELECT fingerprint, rule_id, rel_path, line FROM fp WHERE severity = 'high'")
+
 # --- index -----------------------------------------------------------------------------------------
 INDEX = """WITH s AS (SELECT 'doc/' || doc_id AS rel_path, sha256(text) AS old, CASE WHEN doc_id % 13 = 0 THEN 'removed' ELSE 'active' END AS was FROM documents WHERE doc_id % 7 <> 0),
 n AS (SELECT 'doc/' || doc_id AS rel_path, sha256(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS new FROM documents WHERE doc_id % 11 <> 0),
@@ -376,6 +399,34 @@ query("index_upsert", INDEX + "SELECT rel_path, sha256, status FROM x", False)(l
 query("index_stats", INDEX + "SELECT count(*) FILTER (change = 'added') AS added, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (change = 'removed') AS removed FROM x", False)(
     lambda s, d: index.stats(*snapshots(s, d))
 )
+query(
+    "index_languages",
+    FACTS + "SELECT (SELECT count(*) FROM documents) + (SELECT count(*) FROM book) AS skipped_unknown, (SELECT count(*) FROM region) AS skipped_disabled, (SELECT count(*) FROM part_k) + (SELECT count(*) FROM leaf) + (SELECT count(*) FROM orders) AS indexed",
+    False,
+)(lambda s, d: index.skipped(unnamed(s, d), ["cobol", "jcl"]))
+
+
+def vectors_upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings of all paths, then again those of every third with another text."""
+    i, store = F.col("vec_id"), stored(spark)
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.concat(F.lit("v/"), i.cast("string")).alias("rel_path"), F.sha2(i.cast("string"), 256).alias("sha256"), F.col("embedding").alias("vector"), i)
+    store.merge("embeddings", rows.drop("vec_id"))
+    again = rows.filter(i % 3 == 0).select("rel_path", F.sha2(F.concat(i.cast("string"), F.lit("!")), 256).alias("sha256"), "vector")
+    return store.merge("embeddings", again).select("rel_path", "sha256", F.size("vector").cast("long").alias("n"))
+
+
+query("embeddings_upsert", "SELECT 'v/' || vec_id AS rel_path, sha256(vec_id || CASE WHEN vec_id % 3 = 0 THEN '!' ELSE '' END) AS sha256, len(embedding) AS n FROM embeddings", False)(vectors_upserted)
+
+
+def parses_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parses of documents put by their key, twice; equal texts share one."""
+    keyed = documents(spark, sf_dir).select(index.parse_key(F.col("text"), "regex", F.col("kind")).alias("key"), F.length("text").cast("string").alias("data"))
+    store = stored(spark)
+    store.merge("parse_cache", keyed)
+    return store.merge("parse_cache", keyed.filter("length(data) < 3"))
+
+
+query("parse_cache_put", "SELECT DISTINCT '1:regex:text:' || sha256(text) AS key, length(text)::VARCHAR AS data FROM documents", False)(parses_put)
 query("parse_cache_key", "SELECT 'doc/' || doc_id AS rel_path, '1:regex:text:' || sha256(text) AS key FROM documents", False)(
     lambda s, d: documents(s, d).select("rel_path", index.parse_key(F.col("text"), "regex", F.col("kind")).alias("key"))
 )

@@ -34,6 +34,19 @@ def stats(stored: DataFrame, seen: DataFrame) -> DataFrame:
     return compared(stored, seen).agg(*[F.count_if(F.col("change") == k).alias(k) for k in kinds])
 
 
+def enabled_only(files: DataFrame, languages: list[str]) -> DataFrame:
+    """Classified files of the enabled languages."""
+    return files.filter(F.col("language").isin(*languages))
+
+
+def skipped(files: DataFrame, languages: list[str]) -> DataFrame:
+    """One row: files without a language, those of languages that aren't enabled, and those indexed."""
+    on = F.col("language").isin(*languages)
+    return files.agg(
+        F.count_if(F.col("language").isNull()).alias("skipped_unknown"), F.count_if(~on).alias("skipped_disabled"), F.count_if(on).alias("indexed")
+    )
+
+
 def parse_key(text: Column, backend: str, kind: Column) -> Column:
     """The key of a parse: version, backend, kind and the text's hash."""
     return F.concat_ws(":", F.lit("1"), F.lit(backend), F.coalesce(kind, F.lit("")), F.sha2(text, 256))

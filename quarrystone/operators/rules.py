@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -131,25 +133,57 @@ def findings(files: DataFrame, calls: DataFrame) -> DataFrame:
     return described(line_findings(files).unionByName(evaluate_findings(files)).unionByName(dynamic_findings(calls)))
 
 
+def checked(rule: dict) -> dict:
+    """A pack's rule with all its fields; an id, a pattern that compiles and a known severity are needed."""
+    if "id" not in rule or "pattern" not in rule:
+        raise ValueError(f"a rule needs id and pattern: {rule}")
+    try:
+        re.compile(rule["pattern"], re.I)
+    except re.error as e:
+        raise ValueError(f"rule {rule['id']}: {e}") from e
+    severity = str(rule.get("severity", "medium")).lower()
+    if severity not in P.SEVERITIES:
+        raise ValueError(f"rule {rule['id']}: severity must be one of {P.SEVERITIES}")
+    text = lambda name: str(rule[name]) if rule.get(name) else None
+    return {
+        "id": str(rule["id"]), "pattern": rule["pattern"], "title": str(rule.get("title", rule["id"])), "severity": severity, "cwe": text("cwe"), "owasp": text("owasp"),
+        "languages": sorted({str(x).lower() for x in rule.get("languages") or []}), "rationale": text("rationale") or "", "remediation": text("remediation") or "",
+        "confidence": float(rule.get("confidence", 0.8)),
+    }
+
+
 def custom_findings(files: DataFrame, rules: list[dict]) -> DataFrame:
-    """Findings of a pack's rules: patterns on code lines, literals kept; no languages means all."""
+    """Findings of a pack's rules, with all columns: patterns on code lines, literals kept; no languages means all."""
+    own = [checked(r) for r in rules]
+    fields = ("title", "severity", "cwe", "owasp", "confidence", "rationale", "remediation")
     tests = []
-    for r in rules:
+    for i, r in enumerate(own, len(ORDER) + 1):
         hit = has(F.col("raw"), r["pattern"])
-        if r.get("languages"):
+        if r["languages"]:
             hit = hit & F.col("language").isin(*r["languages"])
-        tests.append(
-            F.when(
-                hit,
-                F.struct(
-                    F.lit(r["id"]).alias("rule_id"),
-                    F.lit(r.get("title", r["id"])).alias("title"),
-                    F.lit(r.get("severity", "medium")).alias("severity"),
-                    F.lit(r.get("cwe")).cast("string").alias("cwe"),
-                    F.lit(float(r.get("confidence", 0.8))).alias("confidence"),
-                ),
-            )
-        )
+        kind = lambda c: "double" if c == "confidence" else "string"
+        tests.append(F.when(hit, F.struct(F.lit(r["id"]).alias("rule_id"), *[F.lit(r[c]).cast(kind(c)).alias(c) for c in fields], F.lit(i).alias("rule_ord"))))
     hits = F.filter(F.array(*tests), lambda x: x.isNotNull())
     rows = code_lines(files).select("rel_path", "line", F.substring(strip(F.col("raw")), 1, 200).alias("evidence"), F.explode(hits).alias("h"))
-    return rows.select("h.rule_id", "h.title", "h.severity", "h.cwe", "h.confidence", "rel_path", "line", "evidence")
+    return rows.select(
+        "h.rule_id", "h.title", "h.severity", "h.cwe", "h.owasp", "rel_path", "line", "evidence", "h.confidence", "h.rationale", "h.remediation",
+        F.lit("rule").alias("source"), F.lit(False).alias("requires_human_review"), "h.rule_ord",
+    )
+
+
+#: Names under which the built-in rules go.
+BUILT_IN = ("cwe", "owasp")
+
+
+def run_packs(files: DataFrame, calls: DataFrame, packs: list[str], registry: dict[str, list[dict]] | None = None) -> DataFrame:
+    """Findings of the packs named, each rule once; unknown names have no rules. registry: further packs by name."""
+    out = None
+    if any(p in BUILT_IN and p not in (registry or {}) for p in packs):
+        out = findings(files, calls)
+    own: list[dict] = []
+    for p in packs:
+        own += [r for r in (registry or {}).get(p, []) if r not in own]
+    if own:
+        more = custom_findings(files, own)
+        out = more if out is None else out.unionByName(more)
+    return findings(files, calls).limit(0) if out is None else out
