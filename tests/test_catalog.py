@@ -6,12 +6,14 @@ import duckdb
 import pytest
 
 from quarrystone import catalog
+from quarrystone.operators import rules
+from quarrystone.sources.store import Store
 
 DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are absent")
-@pytest.mark.parametrize("name", ["cobol_calls", "jcl_dds", "graph_edges", "findings_all", "index_diff", "rules_custom_pack", "emit_mermaid_lines"])
+@pytest.mark.parametrize("name", ["cobol_calls", "jcl_dds", "graph_edges", "findings_all", "index_diff", "rules_custom_pack", "emit_mermaid_lines", "llm_findings_sanitize", "doc_overview_counts", "findings_replace", "embeddings_upsert"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
@@ -24,6 +26,29 @@ def test_against_sql(spark, name):
     assert got == expected
 
 
+def test_store(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    assert store.read("artifacts") is None and store.versions("artifacts") == []
+    rows = lambda *r: spark.createDataFrame(r, "rel_path string, sha256 string")
+    store.merge("artifacts", rows(("a", "1"), ("b", "1")))
+    got = store.merge("artifacts", rows(("b", "2"), ("b", "3"), ("c", "1")))
+    assert sorted(map(tuple, got.collect())) == [("a", "1"), ("b", "3"), ("c", "1")]
+    store.replace("artifacts", rows(("z", "9")))
+    # A version that was not written whole doesn't count.
+    (tmp_path / "artifacts" / "00000009").mkdir()
+    assert [tuple(r) for r in store.read("artifacts").collect()] == [("z", "9")] and store.versions("artifacts") == [1, 2]
+    store.record("begin", config="x")
+    store.record("end", n=3)
+    assert [r.event for r in store.events().collect()] == ["begin", "end"]
+
+
+def test_pack_rules_are_checked():
+    assert rules.checked({"id": 7, "pattern": "x", "severity": "HIGH"})["severity"] == "high"
+    for bad in ({"id": "A"}, {"id": "A", "pattern": "("}, {"id": "A", "pattern": "x", "severity": "dire"}):
+        with pytest.raises(ValueError):
+            rules.checked(bad)
+
+
 def test_flagship(spark):
     if os.path.isdir(DATA):
         assert catalog.flagship(spark, DATA).count() > 0
