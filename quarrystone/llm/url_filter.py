@@ -12,8 +12,9 @@ A cascade is broadcast, so its size is checked: over max_bytes, the same questio
 left semi join on the key (see `judge`).
 
 Defined cases: a null url, or one without ://, has empty host and path and gets the default verdict;
-repeated rows are judged each; an empty table gives an empty result; other columns pass through untouched
-in `judge` unless they bear the name of one of its own output columns, which are replaced.
+a url of any length is judged whole; repeated rows are judged each; an empty table gives an empty result; other
+columns pass through untouched in `judge`, whatever their names, but for those named as one of its output columns,
+which are replaced.
 """
 
 from __future__ import annotations
@@ -233,6 +234,11 @@ def membership(spark: SparkSession, hashes: Column, cascades: list[list[Level]])
     return test(hashes)
 
 
+def other_columns(urls: DataFrame) -> Column:
+    """What `judge` passes through, as one struct, so that no name clashes with the columns it works with."""
+    return F.struct(*[F.col(f"`{c}`") for c in urls.columns if c not in ("host", "path", "rule", "verdict")]).alias("_row")
+
+
 def judge(urls: DataFrame, rules: list[Rule], listed_hosts: list[str] | DataFrame, max_bytes: int = 16 << 20) -> DataFrame:
     """urls with host, path, rule (`host` + `path` of the longest fitting rule, else null) and verdict.
 
@@ -254,8 +260,7 @@ def judge(urls: DataFrame, rules: list[Rule], listed_hosts: list[str] | DataFram
         except TooLarge:
             return judge_by_join(urls, rules, listed_hosts)
     host, path = host_path(F.col("url"))
-    rest = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    keyed = urls.select(*rest, host.alias("host"), path.alias("path")).withColumn(
+    keyed = urls.select(other_columns(urls), host.alias("host"), path.alias("path")).withColumn(
         "_keys", candidate_keys(F.col("host"), F.col("path"), lengths)
     )
     hashes = F.transform("_keys", hashed)
@@ -264,7 +269,7 @@ def judge(urls: DataFrame, rules: list[Rule], listed_hosts: list[str] | DataFram
     first = F.try_element_at(F.filter(F.arrays_zip("_keys", "_rules"), lambda x: x["_rules"] > 0), F.lit(1))
     own = F.when(F.exists("_hosts", lambda x: x > 0), F.lit("block")).otherwise(F.lit("allow"))
     return tested.withColumn("_first", first).select(
-        *rest,
+        "_row.*",
         "host",
         "path",
         F.col("_first._keys").alias("rule"),
@@ -278,8 +283,7 @@ def judge_by_join(urls: DataFrame, rules: list[Rule], listed_hosts: list[str] |
     if not isinstance(listed_hosts, DataFrame):
         listed_hosts = spark.createDataFrame([(h,) for h in listed_hosts], "key string")
     host, path = host_path(F.col("url"))
-    rest = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
-    keyed = urls.select(*rest, host.alias("host"), path.alias("path"))
+    keyed = urls.select(other_columns(urls), host.alias("host"), path.alias("path"))
     asked = keyed.select("host").distinct().select("host", F.explode(suffixes(F.col("host"))).alias("_key"))
     listed = listed_hosts.select(F.col(listed_hosts.columns[0]).alias("_key")).distinct()
     bad = asked.join(listed, "_key", "left_semi").select("host").distinct().withColumn("_bad", F.lit(True))
@@ -296,7 +300,7 @@ def judge_by_join(urls: DataFrame, rules: list[Rule], listed_hosts: list[str] |
         keyed.withColumn("_best", best)
         .join(bad, "host", "left")
         .select(
-            *rest,
+            "_row.*",
             "host",
             "path",
             F.col("_best.key").alias("rule"),
