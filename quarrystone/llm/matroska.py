@@ -6,7 +6,9 @@ timestamp, flags and byte range, so a packet's bytes are a slice of the media co
 
 Defined cases: a null or empty text is a payload of blanks of one packet; a null media value gives no packets
 and the error `null`; bytes that aren't Matroska, or that end early, give the packets read so far and an
-error; unknown elements are skipped; repeated rows are parsed each; an empty table gives an empty result.
+error, and `read_back` gives a null payload and feature with the error; unknown elements are skipped; a text of any
+length is stored whole; repeated rows are parsed each; an empty table gives an empty result; other columns are not
+looked at.
 """
 
 from __future__ import annotations
@@ -399,21 +401,20 @@ def packet_table(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
 
 
 def read_back(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """id, n_bytes, media, the payload read through the packets' byte ranges, and features of both."""
+    """id, n_bytes, media, the payload read through the packets' byte ranges, features of both, and error (null: none)."""
     small_batches(df.sparkSession)
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            payloads, told = [], []
+            payloads, told, errors = [], [], []
             for media in pdf["media"]:
                 got = parse(media)
-                if got.error:
-                    raise Broken(got.error)
-                payloads.append(payload_of(media, got))
-                told.append(features(payloads[-1], got))
-            yield pdf.assign(payload=payloads, feature=told)
+                payloads.append(None if got.error else payload_of(media, got))
+                told.append(None if got.error else features(payloads[-1], got))
+                errors.append(got.error)
+            yield pdf.assign(payload=payloads, feature=told, error=errors)
 
     picked = df.select(F.col(id_col).alias("id"), "n_bytes", "media")
-    schema = f"id {kind}, n_bytes long, media binary, payload binary, feature string"
+    schema = f"id {kind}, n_bytes long, media binary, payload binary, feature string, error string"
     return picked.mapInPandas(run, schema).withColumnRenamed("id", id_col)
