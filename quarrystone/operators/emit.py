@@ -105,7 +105,7 @@ def sarif_rows(found: DataFrame) -> DataFrame:
         F.col("rule_id").alias("ruleId"),
         F.coalesce(F.try_element_at(levels, F.col("severity")), F.lit("warning")).alias("level"),
         F.struct(F.concat("title", F.lit(": "), "rationale").alias("text")).alias("message"),
-        F.struct(F.col("fingerprint").alias("legacylens/v1")).alias("partialFingerprints"),
+        F.struct(F.col("fingerprint").alias("quarrystone/v1")).alias("partialFingerprints"),
         F.array(F.struct(uri.alias("physicalLocation"))).alias("locations"),
         F.struct("severity", "cwe", "owasp", "confidence", "source", F.col("requires_human_review").alias("requiresHumanReview"), "evidence", "remediation", "controls").alias("properties"),
     ]

@@ -235,7 +235,7 @@ def test_whole_reports(spark, estate):
         own = rows[f]
         assert r.get("suppressions") == ([{"kind": "external"}] if own["suppressed"] else None)
         assert r["properties"] == {k: own["requires_human_review" if k == "requiresHumanReview" else k] for k in r["properties"]} and len(r["properties"]) == 9
-        assert r["partialFingerprints"] == {"legacylens/v1": f} and r["message"]["text"] == f"{own['title']}: {own['rationale']}"
+        assert r["partialFingerprints"] == {"quarrystone/v1": f} and r["message"]["text"] == f"{own['title']}: {own['rationale']}"
     counts = json.loads(emit.json_summary(found).first().row)
     assert counts["total"] == found.count() == sum(counts["by_severity"].values()) and counts["suppressed"] == found.filter("suppressed").count()
 
