@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .operators import cobol, emit, findings, gateway, index, retrieval, rules
+from .operators import cobol, emit, findings, gateway, index, pages, retrieval, rules
 from .operators.classify import classified
 from .plans.estate import Estate
 from .sources.storage import shared_dir
@@ -526,6 +526,7 @@ from_estate("doc_overview_counts", lambda e: emit.overview_counts(e.graph.nodes,
     UNION ALL SELECT 'security', 0, '- **Total findings:** ' || count(*) FROM found
     UNION ALL SELECT 'security', list_position(['critical', 'high', 'medium', 'low', 'info'], severity)::BIGINT, '  - ' || severity || ': ' || count(*) FROM found GROUP BY severity
     UNION ALL SELECT 'security', 6, '- **Require human review:** 0'""")
+query("doc_program_pages")(lambda s, d: pages.program_pages(Estate.rendered(s, d).cobol, Estate.rendered(s, d).graph))
 from_estate("doc_fallback_purpose",
     lambda e: e.cobol.programs.join(e.cobol.calls.groupBy("rel_path").agg(F.count(F.lit(1)).alias("n_calls")), "rel_path", "left").select(
         "rel_path", emit.fallback_purpose(F.when(F.col("is_copybook"), "Copybook").otherwise("Program"), F.col("n_paragraphs"), F.col("n_items"), F.coalesce("n_calls", F.lit(0))).alias("purpose")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrystone.functions import patterns as P
 from quarrystone.functions import text as T
-from quarrystone.operators import emit, findings, index, retrieval, rules
+from quarrystone.operators import emit, findings, index, pages, retrieval, rules
 from quarrystone.operators.classify import classified
 from quarrystone.operators.gateway import BudgetSpent, Gateway
 from quarrystone.operators.graph import strong_components
@@ -253,3 +253,39 @@ def test_custom_rules(spark):
     files = spark.createDataFrame([("a", "cobol", "MOVE 'host.acme' TO X"), ("b", "jcl", "//* host.acme")], "rel_path string, language string, text string")
     got = rules.custom_findings(files, [{"id": "R1", "pattern": r"HOST\.ACME"}]).collect()
     assert [(r.rule_id, r.severity, r.confidence, r.rel_path) for r in got] == [("R1", "medium", 0.8, "a")]
+
+
+def test_program_pages(estate):
+    got = {r.rel_path: r for r in pages.program_pages(estate.cobol, estate.graph).collect()}
+    assert set(got) == {"a/PAY.cbl", "a/EMP.cpy", "x/none.cbl"}
+    assert (got["a/PAY.cbl"].name, got["a/PAY.cbl"].file_name) == ("PAY", "PAY.md")
+    assert got["a/PAY.cbl"].page == """# Program: PAY
+
+*Source:* `a/PAY.cbl`  
+*Type:* program · *parse confidence:* 0.95
+
+## Purpose
+Program containing 2 paragraph(s), 1 data item(s), 3 CALL(s). (Enable the LLM for a natural-language summary.)
+
+## Dependencies
+- CALL → `TAX` (`a/PAY.cbl:11`)
+- CICS-XCTL → `WS-NEXT` (`a/PAY.cbl:13`)
+- dynamic CALL → `WS-NEXT` (`a/PAY.cbl:21`)
+- COPY → `EMP` (`a/PAY.cbl:5`)
+- SQL SELECT → table `ACCT.T1` (`a/PAY.cbl:16`)
+- **Invoked by job(s):** RUN
+
+## Structure
+- **Divisions:** IDENTIFICATION, DATA, PROCEDURE
+- **Paragraphs (2):**
+  - `MAIN-PARA` (`a/PAY.cbl:8`)
+  - `END-EVALUATE` (`a/PAY.cbl:20`)
+- **Data items (1):**
+  - 01 `WS-RATE` PIC `9(3)V99` (`a/PAY.cbl:6`)
+
+## Business logic
+Procedure flow (by paragraph): `MAIN-PARA`, `END-EVALUATE`.
+
+"""
+    assert got["a/EMP.cpy"].page.startswith("# Copybook: EMP.cpy\n") and "  - 05 `EMP-ID` PIC `9(6)` (`a/EMP.cpy:2`)\n" in got["a/EMP.cpy"].page
+    assert "- _No dependencies detected._\n\n## Structure\n\n## Business logic\n_Not generated (LLM disabled)._\n" in got["x/none.cbl"].page
