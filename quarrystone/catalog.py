@@ -508,6 +508,7 @@ from_estate("emit_sarif_results", lambda e: emit.sarif_results(e.findings).drop(
 from_estate("emit_graphml_edges", lambda e: emit.graphml_edges(e.graph.edges),
     """SELECT 'e' || i AS id, '<edge id="e' || i || '" source="' || src || '" target="' || dst || '"><data key="rel">' || type || '</data></edge>' AS row
     FROM (SELECT *, row_number() OVER (ORDER BY src, dst, type, rel_path, line) - 1 AS i FROM edges)""")
+query("emit_html_rows")(lambda s, d: emit.html_rows(Estate.rendered(s, d).findings))
 query("emit_json_findings")(lambda s, d: emit.json_findings(Estate.rendered(s, d).findings))
 query("emit_sarif_rows")(lambda s, d: emit.sarif_rows(Estate.rendered(s, d).findings))
 from_estate("emit_sarif_rules", lambda e: emit.sarif_rules(e.findings).select("rule_id", "name", "cwe"),

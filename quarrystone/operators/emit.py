@@ -130,12 +130,33 @@ def sarif_rules(found: DataFrame) -> DataFrame:
 
 
 def html_rows(found: DataFrame) -> DataFrame:
-    """Table rows of all findings, in order of severity, path and line; may be written as text."""
+    """Table rows of all findings with all their fields, in order of severity, path and line; may be written as text.
+
+    Cells: severity, rule, CWE and OWASP, place and id, what was found (marks, rationale, fix, evidence, controls), source.
+    """
     from .findings import rank
 
-    cell = lambda c: F.concat(F.lit("<td>"), F.replace(escaped(F.coalesce(F.col(c).cast("string"), F.lit("None"))), F.lit("'"), F.lit("&#x27;")), F.lit("</td>"))
-    row = F.concat(F.lit("<tr>"), *[cell(c) for c in ("severity", "rule_id", "title", "rel_path", "line")], F.lit("</tr>"))
-    return found.orderBy(F.desc(rank()), "rel_path", "line").select(row.alias("row"))
+    text = lambda c: F.replace(escaped(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit("'"), F.lit("&#x27;"))
+    small = lambda *parts: F.concat(F.lit("<br><small>"), *parts, F.lit("</small>"))
+    number = F.element_at(F.split(text("cwe"), "-"), -1)
+    link = F.concat(F.lit('<a href="https://cwe.mitre.org/data/definitions/'), number, F.lit('.html">'), text("cwe"), F.lit("</a>"))
+    mark = lambda c, name, words: F.when(F.col(c), f'<span class="{name}">{words}</span>').otherwise("")
+    controls = F.when(F.size("controls") > 0, small(F.lit("<em>Controls:</em> "), text("_controls"))).otherwise("")
+    cells = [
+        text("severity"),
+        text("rule_id"),
+        F.concat(F.when(F.col("cwe") != "", link).otherwise(""), F.when(F.col("owasp") != "", F.concat(F.lit("<br>"), text("owasp"))).otherwise("")),
+        F.concat(F.lit("<code>"), text("rel_path"), F.lit(":"), text("line"), F.lit("</code>"), small(F.lit("id "), text("fingerprint"))),
+        F.concat(
+            F.lit("<strong>"), text("title"), F.lit("</strong> "), mark("requires_human_review", "review", "review"), mark("suppressed", "supp", "suppressed"),
+            small(text("rationale")), small(F.lit("<em>Fix:</em> "), text("remediation")), small(F.lit("<em>Evidence:</em> <code>"), text("evidence"), F.lit("</code>")), controls,
+        ),
+        F.concat(text("source"), small(F.lit("conf "), F.format_number("confidence", 2))),
+    ]
+    start = F.when(F.col("suppressed"), "<tr class=off>").otherwise("<tr>")
+    row = F.concat(start, *[x for c in cells for x in (F.lit("<td>"), c, F.lit("</td>"))], F.lit("</tr>"))
+    listed = whole(found).withColumn("_controls", F.array_join("controls", ", "))
+    return listed.orderBy(F.desc(rank()), "rel_path", "line", "fingerprint").select(row.alias("row"))
 
 
 def html_report(found: DataFrame, limit: int = 100_000) -> str:
@@ -146,6 +167,7 @@ def html_report(found: DataFrame, limit: int = 100_000) -> str:
     total = found.count()
     cells = "".join(r.row for r in html_rows(found).limit(limit).collect())
     rest = f"<p>{total - limit} further findings are not shown</p>" if total > limit else ""
+    cells = cells or '<tr><td colspan="6">No findings.</td></tr>'
     return f"<!doctype html><title>Findings</title><h1>{total} findings</h1><table>{cells}</table>{rest}"
 
 

@@ -241,12 +241,22 @@ def test_whole_reports(spark, estate):
 
 
 def test_html_counts_all_findings(spark):
-    rows = [(s, "R", f"t <{i}> 'x'", "p", i) for i, s in enumerate(["low", "high", "low"])]
-    found = spark.createDataFrame(rows, "severity string, rule_id string, title string, rel_path string, line int")
+    rows = [(s, "R", f"t <{i}> 'x'", "p", i, "CWE-79", None, f"f{i}", i == 1, "why & how", "fix", "e", "rule", 0.5, ["A:1", "B:2"], i == 2) for i, s in enumerate(["low", "high", "low"])]
+    kinds = "severity string, rule_id string, title string, rel_path string, line int, cwe string, owasp string, fingerprint string, requires_human_review boolean"
+    kinds += ", rationale string, remediation string, evidence string, source string, confidence double, controls array<string>, suppressed boolean"
+    found = spark.createDataFrame(rows, kinds)
     page = emit.html_report(found, 2)
-    assert "<h1>3 findings</h1>" in page and page.count("<tr>") == 2 and "<p>1 further findings are not shown</p>" in page
+    assert "<h1>3 findings</h1>" in page and page.count("<tr") == 2 and "<p>1 further findings are not shown</p>" in page
     assert "t &lt;1&gt; &#x27;x&#x27;" in page and "not shown" not in emit.html_report(found)
-    assert [r.row.count("<td>") for r in emit.html_rows(found).collect()] == [5, 5, 5]
+    lines = [r.row for r in emit.html_rows(found).collect()]
+    assert [x.count("<td>") for x in lines] == [6, 6, 6] and [f"id f{i}<" in x for i, x in zip((1, 0, 2), lines)] == [True] * 3
+    assert lines[0] == (
+        '<tr><td>high</td><td>R</td><td><a href="https://cwe.mitre.org/data/definitions/79.html">CWE-79</a></td><td><code>p:1</code><br><small>id f1</small></td>'
+        '<td><strong>t &lt;1&gt; &#x27;x&#x27;</strong> <span class="review">review</span><br><small>why &amp; how</small><br><small><em>Fix:</em> fix</small>'
+        "<br><small><em>Evidence:</em> <code>e</code></small><br><small><em>Controls:</em> A:1, B:2</small></td><td>rule<br><small>conf 0.50</small></td></tr>"
+    )
+    assert lines[2].startswith("<tr class=off>") and '<span class="supp">suppressed</span>' in lines[2]
+    assert "No findings." in emit.html_report(found.limit(0))
 
 
 def test_custom_rules(spark):
