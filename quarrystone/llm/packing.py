@@ -74,14 +74,13 @@ class ChunkTokenizer:
             self.pieces.clear()
         known, pieces = self.known, self.pieces
         other, merge, table = [], self.encoder.model.tokenize, visible()
-        for c in chunks:
-            if c in known:
-                continue
-            if not PLAIN.fullmatch(c) or any(t in c.lower() for t in self.added):
+        for c in set(chunks).difference(known):
+            low = c.lower()
+            if not PLAIN.fullmatch(c) or any(t in low for t in self.added):
                 other.append(c)
                 continue
             ids = []
-            for p in PIECE.findall(c.lower()):
+            for p in PIECE.findall(low):
                 got = pieces.get(p)
                 if got is None:
                     merged = merge(p.encode().decode("latin-1").translate(table))
