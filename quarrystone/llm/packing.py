@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import functools
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,6 +39,9 @@ PLAIN = regex.compile(r"[!-~\u00a1-\u017f]+")
 #: The pattern of the tokenizer file (a fixed value): what it matches is encoded on its own.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+#: Signs that end most words; the pattern takes a run of them as one piece.
+STOPS = ".,;:!?"
+
 #: Sequence ids: the partition's number times this, plus the window's number in it.
 SPAN = 1 << 36
 
@@ -53,6 +56,19 @@ def visible() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Known(dict):
+    """What was encoded, at most `limit` entries; a missing one is encoded and kept, in place of all where it is full."""
+
+    def __init__(self, encode: Callable[[str], bytes], limit: int):
+        self.encode, self.limit = encode, limit
+
+    def __missing__(self, text: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        got = self[text] = self.encode(text)
+        return got
+
+
 class ChunkTokenizer:
     """Ids of texts as little-endian unsigned 32-bit integers, by chunks between blanks and line feeds."""
 
@@ -65,39 +81,24 @@ class ChunkTokenizer:
         if any(" " in t or "\n" in t for t in self.added):
             raise ValueError("a token of several chunks")
         self.end = np.array([end_id], "<u4").tobytes()
-        self.limit, self.known, self.pieces = limit, {}, {}
-
-    def learn(self, chunks: list[str]) -> None:
-        if len(self.known) > self.limit:
-            self.known.clear()
-        if len(self.pieces) > self.limit:
-            self.pieces.clear()
-        known, pieces = self.known, self.pieces
-        other, merge, table = [], self.encoder.model.tokenize, visible()
-        for c in set(chunks).difference(known):
-            low = c.lower()
-            if not PLAIN.fullmatch(c) or any(t in low for t in self.added):
-                other.append(c)
-                continue
-            ids = []
-            for p in PIECE.findall(low):
-                got = pieces.get(p)
-                if got is None:
-                    merged = merge(p.encode().decode("latin-1").translate(table))
-                    got = pieces[p] = array("I", [t.id for t in merged]).tobytes()
-                ids.append(got)
-            known[c] = b"".join(ids)
-        for c, e in zip(other, self.encoder.encode_batch_fast(other, add_special_tokens=False)):
-            known[c] = array("I", e.ids).tobytes()
+        self.merge, self.table = self.encoder.model.tokenize, visible()
+        self.known, self.pieces = Known(self.chunk, limit), Known(self.piece, limit)
+
+    def piece(self, text: str) -> bytes:
+        return array("I", [t.id for t in self.merge(text.encode().decode("latin-1").translate(self.table))]).tobytes()
+
+    def chunk(self, text: str) -> bytes:
+        low = text.lower()
+        if PLAIN.fullmatch(text) and not any(t in low for t in self.added):
+            stem = low.rstrip(STOPS)
+            if stem.isalpha():  # letters, then perhaps stops: one piece each
+                return self.pieces[stem] + self.pieces[low[len(stem) :]] if len(stem) < len(low) else self.pieces[stem]
+            return b"".join(map(self.pieces.__getitem__, PIECE.findall(low)))
+        return array("I", self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         chunks = (text or "").replace("\n", " ").split(" ")
-        get = self.known.__getitem__
-        try:
-            return b"".join(map(get, chunks)) + self.end
-        except KeyError:
-            self.learn(chunks)
-            return b"".join(map(get, chunks)) + self.end
+        return b"".join(map(self.known.__getitem__, chunks)) + self.end
 
 
 @functools.lru_cache(maxsize=2)
