@@ -450,40 +450,29 @@ query("embed_incremental", "SELECT 'doc/' || doc_id AS rel_path, length(substr(t
 )
 
 # --- retrieval -------------------------------------------------------------------------------------
-VECTORS = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query, v AS qv FROM e WHERE vec_id IN (0, 1, 2))\n"
+#: Searches take every row whose id is divisible by 50 as a query.
+VECTORS = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query, v AS qv FROM e WHERE vec_id % 50 = 0)\n"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
 
 
-query("cosine_similarity", VECTORS + "SELECT query, vec_id, round(list_cosine_similarity(qv, v), 6) AS score FROM q, e WHERE query <> vec_id", False)(
-    lambda s, d: vectors(s, d)
-    .join(F.broadcast(vectors(s, d).filter(F.col("vec_id").isin(0, 1, 2)).select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))), F.col("query") != F.col("vec_id"))
-    .select("query", "vec_id", F.round(retrieval.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-)
 query("search_topk", VECTORS + "SELECT vec_id, round(list_cosine_similarity(qv, v), 6) AS score FROM q, e WHERE query = 0 ORDER BY list_cosine_similarity(qv, v) DESC, vec_id LIMIT 5", False)(
     lambda s, d: retrieval.top_k(vectors(s, d), vectors(s, d).filter("vec_id = 0").first()["embedding"], 5, "vec_id", "embedding").select("vec_id", F.round("score", 6).alias("score"))
 )
-query(
-    "search_related",
-    VECTORS + "SELECT query, vec_id, rank FROM (SELECT query, vec_id, (row_number() OVER (PARTITION BY query ORDER BY list_cosine_similarity(qv, v) DESC, vec_id))::INT AS rank FROM q, e WHERE query <> vec_id) WHERE rank <= 3",
-    False,
-)(lambda s, d: retrieval.related(vectors(s, d), vectors(s, d).filter(F.col("vec_id").isin(0, 1, 2)), 3, "vec_id", "embedding").select("query", "vec_id", "rank"))
-#: As cosine_similarity and search_related, with every row whose id is divisible by 50 as a query.
-ALL_VECTORS = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT vec_id AS query, v AS qv FROM e WHERE vec_id % 50 = 0)\n"
 
 
 def every_50th(spark: SparkSession, sf_dir: str, k: int | None = None) -> DataFrame:
     return retrieval.all_pairs(vectors(spark, sf_dir), vectors(spark, sf_dir).filter("vec_id % 50 = 0"), k, "vec_id", "embedding")
 
 
-query("cosine_similarity_all", ALL_VECTORS + "SELECT query, vec_id, round(list_cosine_similarity(qv, v), 6) AS score FROM q, e WHERE query <> vec_id", False)(
+query("cosine_similarity", VECTORS + "SELECT query, vec_id, round(list_cosine_similarity(qv, v), 6) AS score FROM q, e WHERE query <> vec_id", False)(
     lambda s, d: every_50th(s, d).select("query", "vec_id", F.round("score", 6).alias("score"))
 )
 query(
-    "search_related_all",
-    ALL_VECTORS + "SELECT query, vec_id, rank FROM (SELECT query, vec_id, (row_number() OVER (PARTITION BY query ORDER BY list_cosine_similarity(qv, v) DESC, vec_id))::INT AS rank FROM q, e WHERE query <> vec_id) WHERE rank <= 3",
+    "search_related",
+    VECTORS + "SELECT query, vec_id, rank FROM (SELECT query, vec_id, (row_number() OVER (PARTITION BY query ORDER BY list_cosine_similarity(qv, v) DESC, vec_id))::INT AS rank FROM q, e WHERE query <> vec_id) WHERE rank <= 3",
     False,
 )(lambda s, d: every_50th(s, d, 3).select("query", "vec_id", "rank"))
 

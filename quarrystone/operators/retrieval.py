@@ -24,15 +24,6 @@ def top_k(vectors: DataFrame, query: list[float] | Column, k: int = 5, key: str
     return vectors.select(key, cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def related(vectors: DataFrame, queries: DataFrame, k: int = 3, key: str = "rel_path", vector: str = "vector") -> DataFrame:
-    """For each of a stated set of query rows, the k nearest others."""
-    q = queries.select(F.col(key).alias("query"), F.col(vector).alias("_q"))
-    met = vectors.select(key, vector).join(q, F.col(key) != F.col("query"))
-    scored = met.select("query", key, cosine(F.col("_q"), F.col(vector)).alias("score"))
-    w = Window.partitionBy("query").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-
-
 #: Rows and queries that one task scores at a time.
 ROW_BLOCK, QUERY_BLOCK = 4096, 512
 

@@ -215,9 +215,9 @@ def test_all_pairs_take_every_50th_row(spark):
 
     d = "/root/testdata/sf0.001"
     ids = {r.vec_id for r in catalog.vectors(spark, d).collect()}
-    got = catalog.QUERIES["search_related_all"](spark, d).collect()
+    got = catalog.QUERIES["search_related"](spark, d).collect()
     assert {r.query for r in got} == {i for i in ids if i % 50 == 0} and len(got) == 3 * len({r.query for r in got})
-    assert catalog.QUERIES["cosine_similarity_all"](spark, d).count() == sum(i % 50 == 0 for i in ids) * (len(ids) - 1)
+    assert catalog.QUERIES["cosine_similarity"](spark, d).count() == sum(i % 50 == 0 for i in ids) * (len(ids) - 1)
 
 
 def test_whole_reports(spark, estate):
