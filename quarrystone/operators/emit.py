@@ -21,27 +21,38 @@ def escaped(text: Column) -> Column:
     return text
 
 
-def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def dot_node() -> Column:
     shape = F.create_map(*[x for k, v in SHAPES.items() for x in (F.lit(k), F.lit(v))])[F.col("type")]
     style = F.when(F.col("defined"), "").otherwise(', style=dashed, color="red"')
-    node = F.concat(F.lit("  "), node_id(F.col("key")), F.lit(' [label="'), F.col("name"), F.lit("\\n("), F.col("type"), F.lit(')", shape='), shape, style, F.lit("];"))
+    return F.concat(F.lit("  "), node_id(F.col("key")), F.lit(' [label="'), F.col("name"), F.lit("\\n("), F.col("type"), F.lit(')", shape='), shape, style, F.lit("];"))
+
+
+def dot_edge() -> Column:
     dashed = F.when(F.col("type") == "dynamic_call", ", style=dashed").otherwise("")
-    edge = F.concat(F.lit("  "), node_id(F.col("src")), F.lit(" -> "), node_id(F.col("dst")), F.lit(' [label="'), F.col("type"), F.lit('"'), dashed, F.lit("];"))
-    return nodes.select(F.lit("node").alias("part"), node.alias("row")).unionByName(edges.select(F.lit("edge").alias("part"), edge.alias("row")))
+    return F.concat(F.lit("  "), node_id(F.col("src")), F.lit(" -> "), node_id(F.col("dst")), F.lit(' [label="'), F.col("type"), F.lit('"'), dashed, F.lit("];"))
 
 
-def mermaid_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def dot_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return nodes.select(F.lit("node").alias("part"), dot_node().alias("row")).unionByName(edges.select(F.lit("edge").alias("part"), dot_edge().alias("row")))
+
+
+def mermaid_node() -> Column:
     label = F.concat(F.col("name"), F.lit("<br/>("), F.col("type"), F.lit(")"))
     body = (
         F.when(F.col("type").isin("dataset", "table"), F.concat(F.lit("[("), label, F.lit(")]")))
         .when(F.col("defined"), F.concat(F.lit("["), label, F.lit("]")))
         .otherwise(F.concat(F.lit("("), label, F.lit(")")))
     )
+    return F.concat(F.lit("  "), node_id(F.col("key")), body)
+
+
+def mermaid_edge() -> Column:
     arrow = F.when(F.col("type") == "dynamic_call", " -.->|").otherwise(" -->|")
-    edge = F.concat(F.lit("  "), node_id(F.col("src")), arrow, F.col("type"), F.lit("| "), node_id(F.col("dst")))
-    return nodes.select(F.lit("node").alias("part"), F.concat(F.lit("  "), node_id(F.col("key")), body).alias("row")).unionByName(
-        edges.select(F.lit("edge").alias("part"), edge.alias("row"))
-    )
+    return F.concat(F.lit("  "), node_id(F.col("src")), arrow, F.col("type"), F.lit("| "), node_id(F.col("dst")))
+
+
+def mermaid_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    return nodes.select(F.lit("node").alias("part"), mermaid_node().alias("row")).unionByName(edges.select(F.lit("edge").alias("part"), mermaid_edge().alias("row")))
 
 
 def graphml_lines(nodes: DataFrame) -> DataFrame:
@@ -80,9 +91,9 @@ FIELDS = "rule_id title severity rel_path line evidence rationale remediation co
 KEEP = {"ignoreNullFields": "false"}
 
 
-def json_findings(found: DataFrame) -> DataFrame:
-    """Every finding with all its fields as JSON."""
-    return whole(found).select("fingerprint", F.to_json(F.struct(*FIELDS), KEEP).alias("row"))
+def json_findings(found: DataFrame, *kept: str) -> DataFrame:
+    """Every finding with all its fields as JSON; also the columns `kept`."""
+    return whole(found).select(*kept, "fingerprint", F.to_json(F.struct(*FIELDS), KEEP).alias("row"))
 
 
 def json_summary(found: DataFrame) -> DataFrame:
@@ -97,8 +108,8 @@ def json_summary(found: DataFrame) -> DataFrame:
     return one.select(F.to_json(F.struct("total", "by_severity", "by_source", "requires_human_review", "suppressed")).alias("row"))
 
 
-def sarif_rows(found: DataFrame) -> DataFrame:
-    """Every finding as a SARIF result in JSON, with its properties; suppressed ones carry a suppression."""
+def sarif_rows(found: DataFrame, *kept: str) -> DataFrame:
+    """Every finding as a SARIF result in JSON, with its properties; suppressed ones carry a suppression. Also the columns `kept`."""
     levels = F.create_map(*[x for k, v in LEVELS.items() for x in (F.lit(k), F.lit(v))])
     uri = F.struct(F.struct(F.col("rel_path").alias("uri")).alias("artifactLocation"), F.struct(F.greatest("line", F.lit(1)).alias("startLine")).alias("region"))
     parts = [
@@ -111,7 +122,7 @@ def sarif_rows(found: DataFrame) -> DataFrame:
     ]
     marked = [*parts, F.array(F.struct(F.lit("external").alias("kind"))).alias("suppressions")]
     row = F.when(F.col("suppressed"), F.to_json(F.struct(*marked), KEEP)).otherwise(F.to_json(F.struct(*parts), KEEP))
-    return whole(found).select("fingerprint", row.alias("row"))
+    return whole(found).select(*kept, "fingerprint", row.alias("row"))
 
 
 def json_rows(found: DataFrame) -> DataFrame:
@@ -129,7 +140,7 @@ def sarif_rules(found: DataFrame) -> DataFrame:
     return found.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("rule_id", F.col("title").alias("name"), "cwe", "owasp")
 
 
-def html_rows(found: DataFrame) -> DataFrame:
+def html_rows(found: DataFrame, *kept: str | Column) -> DataFrame:
     """Table rows of all findings with all their fields, in order of severity, path and line; may be written as text.
 
     Cells: severity, rule, CWE and OWASP, place and id, what was found (marks, rationale, fix, evidence, controls), source.
@@ -156,6 +167,8 @@ def html_rows(found: DataFrame) -> DataFrame:
     start = F.when(F.col("suppressed"), "<tr class=off>").otherwise("<tr>")
     row = F.concat(start, *[x for c in cells for x in (F.lit("<td>"), c, F.lit("</td>"))], F.lit("</tr>"))
     listed = whole(found).withColumn("_controls", F.array_join("controls", ", "))
+    if kept:  # the caller orders them
+        return listed.select(*kept, row.alias("row"))
     return listed.orderBy(F.desc(rank()), "rel_path", "line", "fingerprint").select(row.alias("row"))
 
 

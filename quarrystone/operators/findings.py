@@ -55,6 +55,11 @@ def new_since(found: DataFrame, old: DataFrame) -> DataFrame:
     return found.join(old.select("fingerprint"), "fingerprint", "left_anti").withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")
 
 
+def diff_listing(found: DataFrame, old: DataFrame) -> DataFrame:
+    """What is new since a baseline, gravest first: severity, place, title and fingerprint."""
+    return new_since(found, old).orderBy(F.desc(rank()), "rel_path", "line", "fingerprint").select("severity", "rel_path", "line", "title", "fingerprint")
+
+
 def resolved_since(found: DataFrame, old: DataFrame) -> DataFrame:
     return old.select("fingerprint").distinct().join(found.select("fingerprint"), "fingerprint", "left_anti")
 

@@ -48,6 +48,13 @@ class Gateway:
     max_tokens: int | None = None
     spent: int = 0
     cache: dict[str, str] = field(default_factory=dict)
+    embedder: Callable[[list[str]], list[list[float]]] | None = None
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        """Vectors of texts by the one embedder that is configured."""
+        if self.embedder is None:
+            raise ValueError("no embedder is configured")
+        return self.embedder(texts)
 
     def complete(self, task: str, prompt: str, temperature: float = 0.0) -> str:
         name = self.routes.get(task, self.default)

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .gateway import Gateway
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -24,6 +26,15 @@ def top_k(vectors: DataFrame, query: list[float] | Column, k: int = 5, key: str
     return vectors.select(key, cosine(F.col(vector), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
+def has_embeddings(vectors: DataFrame | None) -> bool:
+    return vectors is not None and not vectors.isEmpty()
+
+
+def with_context(gateway: Gateway | None, vectors: DataFrame | None, off: bool = False) -> bool:
+    """Whether prompts get related sources: a gateway with an embedder, embeddings built, and not switched off."""
+    return not off and gateway is not None and gateway.embedder is not None and has_embeddings(vectors)
+
+
 #: Rows and queries that one task scores at a time.
 ROW_BLOCK, QUERY_BLOCK = 4096, 512
 
