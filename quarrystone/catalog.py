@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import cobol, emit, findings, gateway, index, pages, retrieval, rules
+from .operators import documents as reports
 from .operators.classify import classified
 from .plans.estate import Estate
 from .sources.storage import shared_dir
@@ -345,6 +346,8 @@ from_estate("baseline_snapshot", lambda e: findings.baseline(e.findings), "SELEC
 old_baseline = lambda e: findings.baseline(e.findings.filter("rule_id != 'LL-SEC-008'")).unionByName(e.files.sparkSession.sql("SELECT 'ffff000011112222' AS fingerprint"))
 from_estate("diff_new", lambda e: findings.new_since(e.findings, old_baseline(e)).select("fingerprint", "rule_id"),
     "SELECT DISTINCT fingerprint, rule_id FROM fp WHERE rule_id = 'LL-SEC-008'")
+from_estate("diff_listing", lambda e: findings.diff_listing(e.findings, old_baseline(e)).select("fingerprint", "severity", "title"),
+    "SELECT DISTINCT fingerprint, severity, title FROM fp WHERE rule_id = 'LL-SEC-008'")
 from_estate("diff_resolved", lambda e: findings.resolved_since(e.findings, old_baseline(e)), "SELECT 'ffff000011112222' AS fingerprint")
 from_estate("gate_fail_on", lambda e: findings.gate(hushed(e), "medium"),
     "SELECT count(*) AS n, count(*) > 0 AS failed FROM fp WHERE severity IN ('high', 'medium') AND NOT starts_with(fingerprint, '0')")
@@ -497,6 +500,25 @@ from_estate("emit_sarif_results", lambda e: emit.sarif_results(e.findings).drop(
 from_estate("emit_graphml_edges", lambda e: emit.graphml_edges(e.graph.edges),
     """SELECT 'e' || i AS id, '<edge id="e' || i || '" source="' || src || '" target="' || dst || '"><data key="rel">' || type || '</data></edge>' AS row
     FROM (SELECT *, row_number() OVER (ORDER BY src, dst, type, rel_path, line) - 1 AS i FROM edges)""")
+
+
+def document_sql(lines: list[str], *parts: str) -> str:
+    """Rows of a whole document: its fixed lines, and those that the queries of its parts have."""
+    own = [f"SELECT row FROM ({ORACLE_SQL[p].removeprefix(FACTS)})" for p in parts]
+    return " UNION ALL ".join(["SELECT unnest([" + ", ".join(f"'{line}'" for line in lines) + "]) AS row", *own])
+
+
+from_estate("emit_dot_document", lambda e: reports.dot(e.graph).select("row"),
+    document_sql(["digraph quarrystone {", "  rankdir=LR;", '  node [fontname="monospace"];', "}"], "emit_dot_lines"))
+from_estate("emit_mermaid_document", lambda e: reports.mermaid(e.graph).select("row"), document_sql(["graph LR"], "emit_mermaid_lines"))
+from_estate("emit_graphml_document", lambda e: reports.graphml(e.graph).select(F.trim("row").alias("row")),
+    document_sql(
+        ['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', '<key id="type" for="node" attr.name="type" attr.type="string"/>',
+         '<key id="defined" for="node" attr.name="defined" attr.type="boolean"/>', '<key id="rel" for="edge" attr.name="relationship" attr.type="string"/>', '<graph edgedefault="directed">', "</graph>", "</graphml>"],
+        "emit_graphml_lines", "emit_graphml_edges",
+    ))
+query("emit_json_document")(lambda s, d: reports.json(Estate.rendered(s, d).findings).select("row"))
+query("emit_sarif_document")(lambda s, d: reports.sarif(Estate.rendered(s, d).findings).select("row"))
 query("emit_html_rows")(lambda s, d: emit.html_rows(Estate.rendered(s, d).findings))
 query("emit_json_findings")(lambda s, d: emit.json_findings(Estate.rendered(s, d).findings))
 query("emit_sarif_rows")(lambda s, d: emit.sarif_rows(Estate.rendered(s, d).findings))
@@ -516,6 +538,14 @@ from_estate("doc_overview_counts", lambda e: emit.overview_counts(e.graph.nodes,
     UNION ALL SELECT 'security', 0, '- **Total findings:** ' || count(*) FROM found
     UNION ALL SELECT 'security', list_position(['critical', 'high', 'medium', 'low', 'info'], severity)::BIGINT, '  - ' || severity || ': ' || count(*) FROM found GROUP BY severity
     UNION ALL SELECT 'security', 6, '- **Require human review:** 0'""")
+query("doc_overview")(
+    lambda s, d: reports.overview(
+        "estate",
+        Estate.rendered(s, d).graph,
+        Estate.rendered(s, d).findings,
+        pages.program_pages(Estate.rendered(s, d).cobol, Estate.rendered(s, d).graph).select("name", F.when(F.startswith("page", F.lit("# Copybook")), "copybook").otherwise("program").alias("type"), "file_name"),
+    ).select("row")
+)
 query("doc_program_pages")(lambda s, d: pages.program_pages(Estate.rendered(s, d).cobol, Estate.rendered(s, d).graph))
 from_estate("doc_fallback_purpose",
     lambda e: e.cobol.programs.join(e.cobol.calls.groupBy("rel_path").agg(F.count(F.lit(1)).alias("n_calls")), "rel_path", "left").select(

@@ -1,5 +1,6 @@
 """A few queries of the catalog against DuckDB on the smallest tables."""
 
+import json
 import os
 
 import duckdb
@@ -13,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are absent")
-@pytest.mark.parametrize("name", ["cobol_calls", "jcl_dds", "graph_edges", "findings_all", "index_diff", "rules_custom_pack", "emit_mermaid_lines", "llm_findings_sanitize", "doc_overview_counts", "findings_replace", "embeddings_upsert"])
+@pytest.mark.parametrize("name", ["cobol_calls", "jcl_dds", "graph_edges", "findings_all", "index_diff", "rules_custom_pack", "emit_mermaid_lines", "llm_findings_sanitize", "doc_overview_counts", "findings_replace", "embeddings_upsert", "emit_dot_document", "emit_mermaid_document", "emit_graphml_document", "diff_listing", "cosine_similarity", "search_related"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
@@ -49,6 +50,15 @@ def test_pack_rules_are_checked():
             rules.checked(bad)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are absent")
+def test_whole_documents(spark):
+    whole = lambda name: "\n".join(r.row for r in catalog.QUERIES[name](spark, DATA).collect())
+    n = catalog.QUERIES["findings_all"](spark, DATA).count()
+    assert json.loads(whole("emit_json_document"))["summary"]["total"] == n
+    assert len(json.loads(whole("emit_sarif_document"))["runs"][0]["results"]) == n
+    assert f"- **Total findings:** {n}" in whole("doc_overview")
+
+
 def test_flagship(spark):
     if os.path.isdir(DATA):
         assert catalog.flagship(spark, DATA).count() > 0
