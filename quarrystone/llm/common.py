@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import xxhash
 from pyspark.sql import SparkSession
 
 from ..sources.storage import discard, materialise, reclaim, shared_dir
@@ -18,10 +17,6 @@ LOWER_BYTES = bytes(
     32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256)
 )
 
-#: Word hashes that one worker keeps before it starts afresh.
-WORD_CACHE = 400_000
-
-
 def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bound the bytes of this session's Arrow batches, so that very long texts fit a worker.
 
@@ -47,26 +42,49 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes:
-    """64-bit hashes of a text's words, lower-cased A-Z; a bounded cache holds what was seen."""
+    """64-bit hashes of a text's words, lower-cased A-Z, all at once and without a table of words.
+
+    A word's hash is a polynomial modulo 2^64 whose coefficients are random numbers for its bytes, mixed with its
+    length. Sums run over the whole text; a word's is the difference of two, brought back to its first power. A text
+    is taken in blocks that end between words, so memory is bounded by `block` or by its longest word.
+    """
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, block: int = 1 << 18):
+        self.block = block
+        self.of = np.random.default_rng(11).integers(0, 2**64 - 1, 256, dtype=np.uint64, endpoint=True)
+        self.grow(1 << 14)
 
-    def __init__(self, limit: int = WORD_CACHE):
-        self.limit, self.known = limit, {}
+    def grow(self, n: int) -> None:
+        """Powers of the base and of its inverse, n of each."""
+        self.powers, self.back = np.ones(n, np.uint64), np.ones(n, np.uint64)
+        for powers, base in ((self.powers, self.BASE), (self.back, pow(self.BASE, -1, 2**64))):
+            powers[1:] = base
+            np.multiply.accumulate(powers, out=powers)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint64)
-        words = text.encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split(b" ")
-        known = self.known
-        try:
-            got = [known[w] for w in words if w]
-        except KeyError:
-            if len(known) > self.limit:
-                known.clear()
-            for w in words:
-                if w and w not in known:
-                    known[w] = xxhash.xxh3_64_intdigest(w)
-            got = [known[w] for w in words if w]
-        return np.array(got, np.uint64)
+        data = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES)
+        out, at = [], 0
+        while len(data) - at > self.block:
+            end = data.rfind(b" ", at, at + self.block) + 1 or data.find(b" ", at + self.block) + 1 or len(data)
+            out.append(self.hashes(data[at:end]))
+            at = end
+        out.append(self.hashes(data[at:]))
+        return out[0] if len(out) == 1 else np.concatenate(out)
+
+    def hashes(self, data: bytes) -> np.ndarray:
+        n = len(data)
+        if n > len(self.powers):
+            self.grow(max(n, 2 * len(self.powers)))
+        signs = np.frombuffer(data, np.uint8)
+        inside = np.zeros(n + 2, bool)
+        np.not_equal(signs, 32, out=inside[1:-1])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        first, last = edges[::2], edges[1::2]
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.of[signs] * self.powers[:n], out=total[1:])
+        return mix64((total[last] - total[first]) * self.back[first] + (last - first).astype(np.uint64))
 
 
 def shingles(words: np.ndarray, k: int) -> np.ndarray:

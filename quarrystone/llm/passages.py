@@ -56,7 +56,8 @@ def minimisers(words: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarra
         at = np.array([int(grams.argmin())]) if len(grams) else np.zeros(0, int)
         return at, grams[at]
     view = np.lib.stride_tricks.sliding_window_view(grams, params.window)
-    at = np.unique(view.argmin(1) + np.arange(len(view)))
+    at = view.argmin(1) + np.arange(len(view))
+    at = at[np.r_[True, at[1:] != at[:-1]]]  # the first least of a window never lies before that of the one before
     return at, grams[at]
 
 
