@@ -291,6 +291,41 @@ def test_search_of_outliers(spark):
         assert all(abs(r.score - x[r.vec_id] @ x[q]) < 1e-9 for r in own)
 
 
+def test_search_of_copies_is_exact_among_them(spark):
+    rng = np.random.default_rng(21)
+    few = rng.standard_normal((30, 8))
+    x = few[np.arange(900) % 30]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    x = x.astype(np.float32).astype(float)
+    got = ann.search(df, F.col("id") % 4 == 0, ann.Params(k=40)).collect()
+    for q in range(0, 900, 4):
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in own] == np.lexsort((np.arange(900), -s))[:40].tolist()
+
+
+def test_search_block_keeps_the_best_of_the_cells_within_reach():
+    rng = np.random.default_rng(22)
+    x = rng.standard_normal((3000, 16)) * rng.uniform(0.5, 2, (3000, 1))
+    params = ann.Params(k=10, cell_rows=64)
+    norm = float(np.sqrt((x * x).sum(1).max()))
+    tables = ann.Tables(16, params)
+    for reach in (None, 0.3):
+        block = ann.Block(np.arange(3000), x, tables, norm, reach)
+        for low in (-np.inf, 0.2):
+            got = block.nearest(pd.DataFrame({"id": np.arange(50), "vec": list(x[:50]), "low": low}), 1e-5)
+            for q in range(50):
+                s = (x * x[q]).sum(1)
+                seen = np.full(3000, reach is None)
+                for t in range(params.tables if reach else 0):
+                    place = tables.places(ann.unit_query(x[q : q + 1]), t)
+                    seen |= ann.border_distance(place, np.floor(tables.places(ann.unit(x, norm), t))).sum(1) <= reach
+                s[~seen] = -np.inf
+                best = [int(i) for i in np.lexsort((np.arange(3000), -s))[:11] if s[i] > -np.inf and s[i] >= low * norm * np.sqrt((x[q] * x[q]).sum()) - 1e-9]
+                assert got["b"][got["a"] == q].tolist() == best
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
