@@ -16,8 +16,9 @@ allows is certainly no link.
    probed for what the others brought up; what collides `match` times or more, shares no earlier prefix coordinate
    (there the pair is met already) and passes sizes and sketches is a candidate. Clear candidates are cut down to
    a forest of the list's components; others are taken nearest first, `burst` for each member and eight times as
-   many each round, till no candidate is left. So no group is expanded into all its pairs, and no pair of a list
-   stays untested unless it is connected.
+   many each round, till no candidate is left. A list is done, and not looked at again, once all of its candidates
+   were given and its clear ones hold. So no group is expanded into all its pairs, and no pair of a list stays untested
+   unless it is connected.
 
 Lists of over 2 * `tile` members are dealt over tiles: blocks of members outside the largest component meet each
 other and blocks of the largest.
@@ -253,30 +254,34 @@ def link_classes(docs: DataFrame, params: Params, classes: DataFrame, id_col: st
     found, burst, clear = components(links[0]), params.burst, CLEAR
     while True:
         reclaim(spark)
-        more, whole = remaining(shared, classes, found, params, burst, clear)
-        fresh = materialise(more.join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = remaining(shared, classes, found, params, burst, clear)
+        fresh = materialise(more.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+        failed = more.filter("clear")
         if not fresh.isEmpty():
             links.append(materialise(confirm(fresh, docs, params, id_col, text_col), "links"))
-            # Clear candidates stand for others of their components; should one fail, all are looked at on their own.
-            if not fresh.filter("clear").join(links[-1], ["a", "b"], "left_anti").isEmpty():
-                whole, clear = False, 0.0
+            failed = failed.join(links[-1], ["a", "b"], "left_anti")
             if not links[-1].isEmpty():
                 merged = links[0].select("a", "b")
                 for own in links[1:]:
                     merged = merged.unionByName(own.select("a", "b"))
                 before, found = found, components(merged)
                 discard(before)
-        discard(more)
-        if whole:
+        # Clear candidates stand for others of their components; should one fail, or have failed before, its list is looked at pair by pair.
+        left = materialise(more.filter("cut").select(*key).union(failed.select(*key)).distinct(), "left")
+        if left.isEmpty():
+            discard(more, left)
             break
-        tested, burst = materialise(tested.unionByName(fresh.select("a", "b")), "tested"), 8 * burst
-        discard(fresh)
+        if not failed.isEmpty():
+            clear = 0.0
+        before, shared = shared, materialise(shared.join(left, key, "left_semi"), "shared")
+        tested, burst = materialise(tested.unionByName(fresh), "tested"), 8 * burst
+        discard(more, left, before, fresh)
     discard(shared, pairs, *links)
     return found
 
 
-def remaining(shared: DataFrame, classes: DataFrame, found: DataFrame, params: Params, burst: int, clear: float) -> tuple[DataFrame, bool]:
-    """Candidates (a, b, clear) of different components, a < b, at most `burst` unclear ones a member; and whether these are all."""
+def remaining(shared: DataFrame, classes: DataFrame, found: DataFrame, params: Params, burst: int, clear: float) -> DataFrame:
+    """Candidates (at, value, a, b, clear, cut) of different components, a < b, at most `burst` unclear ones a member; cut: its tile has more."""
     spark = shared.sparkSession
     kind = classes.schema["rep"].dataType.simpleString()
     key = ["at", "value"]
@@ -306,6 +311,9 @@ def remaining(shared: DataFrame, classes: DataFrame, found: DataFrame, params: P
         .sortWithinPartitions(*key, "i", "j")
     )
 
+    def listed(own: pd.DataFrame, at: tuple) -> pd.DataFrame:
+        return candidates(own, at[0], params, burst, clear).assign(at=at[0], value=at[1])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, held = None, []
         for pdf in batches:
@@ -316,20 +324,19 @@ def remaining(shared: DataFrame, classes: DataFrame, found: DataFrame, params: P
             out = []
             for lo, hi in zip(starts, [*starts[1:], len(keys)]):
                 if keys[lo] != now and held:
-                    out.append(candidates(pd.concat(held) if len(held) > 1 else held[0], now[0], params, burst, clear))
+                    out.append(listed(pd.concat(held) if len(held) > 1 else held[0], now))
                     held = []
                 now = keys[lo]
                 held.append(pdf.iloc[lo:hi])
-            yield pd.concat(out) if out else NONE
+            if out:
+                yield pd.concat(out)
         if held:
-            yield candidates(pd.concat(held), now[0], params, burst, clear)
+            yield listed(pd.concat(held), now)
 
     small_batches(spark)
-    got = met.mapInPandas(run, f"a {kind}, b {kind}, clear boolean, cut boolean")
-    got = got.groupBy("a", "b").agg(F.max("clear").alias("clear"), F.max("cut").alias("cut"))
-    got = materialise(got, "candidates")
+    got = materialise(met.mapInPandas(run, f"at int, value int, a {kind}, b {kind}, clear boolean, cut boolean"), "candidates")
     discard(marked)
-    return got, got.filter("cut").isEmpty()
+    return got
 
 
 NONE = pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "clear": pd.Series(dtype=bool), "cut": pd.Series(dtype=bool)})

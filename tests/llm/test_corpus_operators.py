@@ -252,6 +252,41 @@ def test_quality_on_held_out_documents(spark):
     assert quality.judge(docs, empty, F.col("source"), F.col("lang")).filter("NOT keep").count() == 0
 
 
+def test_only_unfinished_lists_are_looked_at_again(spark, monkeypatch):
+    rng = random.Random(31)
+
+    def edited(words, n):
+        words = list(words)
+        for at in rng.sample(range(len(words)), n):
+            words[at] = f"edit{rng.randint(0, 10**9)}"
+        return " ".join(words)
+
+    fresh = lambda: [rng.choice(WORDS) + str(rng.randint(0, 10**6)) for _ in range(200)]
+    base = fresh()
+    texts = [edited(base, 3) for _ in range(30)]  # near, but no links
+    for _ in range(40):  # lists in common, but no candidates
+        base = fresh()
+        texts += [edited(base, 9) for _ in range(2)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sizes, remaining = [], near_dup.remaining
+
+    def counted(shared, *more):
+        sizes.append(shared.count())
+        return remaining(shared, *more)
+
+    monkeypatch.setattr(near_dup, "remaining", counted)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(df, near_dup.Params(shingle=3, percent=85, burst=1)).collect()}
+    sets = [frozenset(zip(w, w[1:], w[2:])) for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = max(root[i], root[j]), min(root[i], root[j])
+                root = [b if r == a else r for r in root]
+    assert got == dict(enumerate(root))
+    assert len(sizes) > 1 and sizes[1] < sizes[0]
+
+
 def test_search_recall_and_ties(spark):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((900, 16)) * rng.uniform(0.5, 2, (900, 1))
