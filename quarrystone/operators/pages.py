@@ -56,13 +56,26 @@ def structure(cobol: "Cobol") -> DataFrame:
     return _joined(every, "structure")
 
 
+def _kind() -> Column:
+    return F.when(F.col("is_copybook"), "Copybook").otherwise("Program")
+
+
+def _named(cobol: "Cobol") -> DataFrame:
+    base = F.element_at(F.split("rel_path", "/"), -1)
+    return cobol.programs.withColumn("name", F.coalesce("program_id", base))
+
+
+def artifacts(cobol: "Cobol") -> DataFrame:
+    """name, type and file_name of every COBOL file's page, without the page."""
+    return _named(cobol).select("name", F.lower(_kind()).alias("type"), emit.doc_name(F.col("name")).alias("file_name"))
+
+
 def program_pages(cobol: "Cobol", graph: "Graph") -> DataFrame:
     """rel_path, name, file_name and page (Markdown) of every COBOL file; a file without facts has a page that says so.
 
     Facts are grouped by file and the files' arrays joined by path, so a page is made where its file's facts are.
     """
-    base = F.element_at(F.split("rel_path", "/"), -1)
-    programs = cobol.programs.withColumn("name", F.coalesce("program_id", base))
+    programs = _named(cobol)
     calls = cobol.calls.groupBy("rel_path").agg(F.count(F.lit(1)).alias("n_calls"))
     met = (
         programs.join(calls, "rel_path", "left")
@@ -70,7 +83,7 @@ def program_pages(cobol: "Cobol", graph: "Graph") -> DataFrame:
         .join(structure(cobol), "rel_path", "left")
         .join(emit.business_lines(cobol.paragraphs).withColumnRenamed("row", "flow"), "rel_path", "left")
     )
-    kind = F.when(F.col("is_copybook"), "Copybook").otherwise("Program")
+    kind = _kind()
     head = F.array(
         F.concat(F.lit("# "), kind, F.lit(": "), F.col("name")),
         F.lit(""),

@@ -165,3 +165,22 @@ def test_backend():
         assert config.backend("antlr") == "regex"
     with pytest.raises(config.ConfigError):
         config.backend("antlr", fallback=False)
+
+
+def test_artifacts_are_those_of_the_pages(estate):  # noqa: F811
+    made = pages.program_pages(estate.cobol, estate.graph).collect()
+    want = sorted((r.name, "copybook" if r.page.startswith("# Copybook") else "program", r.file_name) for r in made)
+    assert want and sorted(map(tuple, pages.artifacts(estate.cobol).collect())) == want
+
+
+def test_words_that_guard_patterns(spark):
+    from pyspark.sql import functions as F
+
+    from quarrystone.functions.text import group, has
+
+    lines = ["DATA DIVISION.", "data division.", "DATA D\u0130V\u0131S\u0130ON.", "DATA DIVIDE.", ""]
+    rows = spark.createDataFrame([(x,) for x in lines], "x string")
+    rx = r"^\s*(DATA)\s+DIVISION\b"
+    got = rows.select(*[e for w in ("", "DIVISION") for e in (has(F.col("x"), rx, w), group(F.col("x"), rx, word=w))]).collect()
+    assert all(r[0] == r[2] and r[1] == r[3] for r in got)
+    assert [r[0] for r in got] == [True, True, True, False, False]
